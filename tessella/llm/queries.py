@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.common import table
-from tessella.llm import filler, leaks, packing, pairs, splitting, visual
+from tessella.llm import filler, leaks, packing, pairs, sentences, splitting, visual
 
 # The token of TESTDATA.md for DuckDB.
 _HAN = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAD9}\x{20000}-\x{323AF}]"
@@ -32,6 +32,10 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(sentences.block_and_unit_records(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "source_units")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs_ = pairs.history_pairs(table(spark, sf_dir, "qa_requests"), table(spark, sf_dir, "pipeline_traces"))
     return pairs.find_defects(pairs_, table(spark, sf_dir, "documents"))
@@ -78,7 +82,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filler.find_filler(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_places": p7_places, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_places": p7_places, "p8_found": p8_found, "p8_scores": p8_scores}
 SQL = {
     "p1_found": f"""WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) AS k FROM chunks) WHERE k = 1),
 s AS (SELECT section_id, array_to_string(path, ' > ') AS p FROM (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY written_at DESC) AS k FROM sections) WHERE k = 1)
