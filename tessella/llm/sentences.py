@@ -344,7 +344,10 @@ def sentence_spans(text: str | None, kind: str | None, model: Model) -> list[tup
         stripped = piece.strip()
         if stripped:
             a = begin + len(piece) - len(piece.lstrip())
-            out.append((a, a + len(stripped)))
+            if out and not any(c.isalpha() for c in stripped):
+                out[-1] = (out[-1][0], a + len(stripped))  # a footnote's number is no sentence
+            else:
+                out.append((a, a + len(stripped)))
         begin = end
     return out
 
