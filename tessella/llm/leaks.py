@@ -99,7 +99,8 @@ def scan(text: str, a: ahocorasick.Automaton) -> dict[int, tuple[int, int]]:
     return out
 
 
-_built: dict[int, ahocorasick.Automaton | None] = {}
+#: A worker's automaton, with the items it was built of.
+_built: list = [None, None]
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, words: int = 12, chars: int = 20, block: int = 5000) -> DataFrame:
@@ -119,10 +120,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, words: int = 12, chars: i
         shared = documents.sparkSession.sparkContext.broadcast(some)
 
         def batches(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            key = id(shared.value)
-            if key not in _built:
-                _built[key] = automaton(shared.value, words, chars)
-            a = _built[key]
+            if _built[0] is not shared.value:
+                _built[:] = shared.value, automaton(shared.value, words, chars)
+            a = _built[1]
             for b in it if a else ():
                 rows = [(d, item, *at) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for item, at in scan(t, a).items()]
                 columns = list(zip(*rows, strict=True)) or [()] * 4
