@@ -69,7 +69,15 @@ LANGUAGES = {
     "ja": "japanese|japanisch|japonais|japonés|日文|日語|日语|日本語",
 }
 
-_REFUSAL = regex.compile("|".join(f"(?:{p})" for p in REFUSALS), regex.S)
+# A text without any of these cannot match a pattern of REFUSALS, which all hold one of them.
+REFUSAL_MARKS = (
+    "can't", "cannot", "can not", "could not", "couldn't", "won't", "will not", "unable", "not able", "decline", "refuse", "prefer not", "do not", "don't", "did not", "didn't", "does not", "doesn't", "i must", "we must", "have to", "need to", "will pass", "not ", "n't ", "what i", "my ", "scope", "the remit", "the knowledge", "capabilities", "abilities", "no reply", "no answer", "no response", "no information", "no guidance", "for me to", "rather not", "something",
+    "kann ich", "ich kann", "ich darf", "ich möchte", "ich werde", "frage", "reichen nicht", "ausreichend", "unzureichend", "ablehnen",
+    "je ne", "je n'", " ne ", "pas en mesure", "pas autoris", "impossible", "je dois", "je préfère", "dépasse", "hors de mon", "ne m'est",
+    "no pue", "no pod", "no me", "no estoy", "no dispon", "no tengo", "no cuento", " no ", "rechazar", "declinar", "prefiero", "debo", "tengo que", "fuera de", "supera", "excede",
+    "無法", "无法", "不能", "不便", "不可以", "恕", "超出", "不足", "不夠", "不够", "無可奉告", "ません", "かねます", "控え", "範囲",
+)
+_REFUSAL = [regex.compile(p, regex.S) for p in REFUSALS]
 _QUOTED = regex.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』|```.*?(?:```|$)", regex.S)
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Cc}]+")
 _OTHER = regex.compile(r"[^\p{L}\p{N}]+")
@@ -109,22 +117,26 @@ def is_copy(question: str | None, answer: str) -> bool:
 
 def is_refusal(answer: str) -> bool:
     text = unicodedata.normalize("NFKC", answer).replace("’", "'").casefold()
-    return bool(_REFUSAL.search(_QUOTED.sub(" ", text)))
+    if not any(m in text for m in REFUSAL_MARKS):
+        return False
+    text = _QUOTED.sub(" ", text)
+    return any(p.search(text) for p in _REFUSAL)
+
+
+_RUN = regex.compile(rf"[{_CJK}]+|[\p{{L}}\p{{M}}]+")
+
 
+def runs(text: str) -> list[str]:
+    """Words, and runs of Chinese or Japanese characters."""
+    return _RUN.findall(unicodedata.normalize("NFKC", text).casefold())
 
-def grams(text: str) -> Iterator[str]:
-    """Character n-grams of the words: 1 to 3 with word edges; in Chinese and Japanese 1 and 2."""
-    text = unicodedata.normalize("NFKC", text).casefold()
-    for m in regex.finditer(rf"[{_CJK}]+|[\p{{L}}\p{{M}}]+", text):
-        w = m[0]
-        if regex.match(rf"[{_CJK}]", w):
-            yield from w
-            yield from (w[i : i + 2] for i in range(len(w) - 1))
-        else:
-            w = f" {w} "
-            yield from w[1:-1]
-            for n in (2, 3):
-                yield from (w[i : i + n] for i in range(len(w) - n + 1))
+
+def grams(w: str) -> list[str]:
+    """Character n-grams of a word: 1 to 3 with word edges; in Chinese and Japanese 1 and 2."""
+    if w[0] >= "\u2e80":
+        return [*w, *(w[i : i + 2] for i in range(len(w) - 1))]
+    e = f" {w} "
+    return [*w, *(e[i : i + n] for n in (2, 3) for i in range(len(e) - n + 1))]
 
 
 def language_model(documents: DataFrame, per_language: int = 2000, share: float = 2e-6) -> tuple[list[str], dict[str, np.ndarray]]:
@@ -142,8 +154,12 @@ def language_model(documents: DataFrame, per_language: int = 2000, share: float
     sample = labelled.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000).select("lang", "text")
 
     def update(counter: Counter, rows: list) -> None:
+        seen: Counter = Counter()  # a word is taken apart once, however often it stands in the rows
         for r in rows:
-            counter.update(f"{r['lang']}\t{g}" for g in grams(r["text"]))
+            seen.update((r["lang"], w) for w in runs(r["text"]))
+        for (lang, w), n in seen.items():
+            for g in grams(w):
+                counter[f"{lang}\t{g}"] += n
 
     counts = key_counts(sample, update).cache()
     total = counts.agg(F.sum("n")).head()[0] or 0
@@ -160,13 +176,24 @@ def language_model(documents: DataFrame, per_language: int = 2000, share: float
     return langs, {g: np.log((n + 0.5) / (sums + 0.5 * v)).astype(np.float32) for g, n in table.items()}
 
 
+#: A worker's sums of the n-grams of the words it has met, with the model they belong to.
+_sums: list = [None, {}]
+
+
 def posterior(text: str, langs: list[str], table: dict[str, np.ndarray]) -> np.ndarray:
     """Log-posterior of each language under equal priors; equal values where nothing is known."""
     s = np.zeros(len(langs))
-    for g in grams(text):
-        v = table.get(g)
-        if v is not None:
-            s += v
+    if _sums[0] is not table:
+        _sums[:] = table, {}
+    cache = _sums[1]
+    for w in runs(text):
+        v = cache.get(w)
+        if v is None:
+            found = [x for g in grams(w) if (x := table.get(g)) is not None]
+            v = np.sum(found, axis=0, dtype=np.float64) if found else np.zeros(len(langs))
+            if len(cache) < 200_000:
+                cache[w] = v
+        s += v
     s -= s.max()
     return s - math.log(np.exp(s).sum())
 
@@ -179,9 +206,9 @@ def shape(word: str) -> str:
 SHORT = 8
 
 
-def words(text: str) -> list[tuple[str, int]]:
-    """(shape, end offset) of the words and marks of a text."""
-    return [(shape(m[0]), m.end()) for m in _WORD.finditer(unicodedata.normalize("NFKC", text))]
+def words(text: str) -> list[str]:
+    """The shapes of the words and marks of a text: small letters, and 0 for each run of digits."""
+    return _WORD.findall(shape(unicodedata.normalize("NFKC", text)))
 
 
 def count_ends(counter: Counter, texts: list) -> None:
@@ -190,7 +217,7 @@ def count_ends(counter: Counter, texts: list) -> None:
     for text in texts:
         if text is None:
             continue
-        w = [x for x, _ in words(text)]
+        w = words(text)
         counter["#"] += len(w)
         for n in range(1, min(len(w), SHORT) + 1):
             counter[("e^ " if n == len(w) else "c^ ") + " ".join(w[:n])] += 1
@@ -240,7 +267,7 @@ def is_truncated(answer: str, model: dict[str, tuple[int, int]], open_end: float
     body = text.rstrip(_CLOSE)
     if text.endswith("`") and text.count("`") % 2 == 0:
         return False
-    w = [x for x, _ in words(text)]
+    w = words(text)
     while w and w[-1] in _CLOSE:
         w.pop()
     closed = bool(w) and (w[-1] in _STOP or w[-1] == "…")
