@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import hierarchy
+from tessella.plans import hierarchy, search
 
-MODULES = (hierarchy,)
+MODULES = (search, hierarchy)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.p3_found(spark, sf_dir)
+    return search.hybrid_search(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
