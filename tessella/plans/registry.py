@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import hierarchy, search
+from tessella.plans import conversation, hierarchy, search
 
-MODULES = (search, hierarchy)
+MODULES = (search, conversation, hierarchy)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
