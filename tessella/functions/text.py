@@ -79,7 +79,7 @@ def continuation_parts(title: Column) -> Column:
     """struct(base, part, total) of a heading like "Title (2/3)"; null for any other."""
     t = strip(title)
     base = strip(F.regexp_extract(t, CONTINUATION, 1))
-    part, total = (F.regexp_extract(t, CONTINUATION, k).cast("int") for k in (2, 3))
+    part, total = (F.regexp_extract(t, CONTINUATION, k).try_cast("int") for k in (2, 3))
     ok = t.rlike(CONTINUATION) & (base != "") & (part >= 1) & (part <= total)
     return F.when(ok, F.struct(base.alias("base"), part.alias("part"), total.alias("total")))
 
