@@ -66,7 +66,7 @@ def pack(documents: DataFrame, capacity: int, linear: float = 1.0, quadratic: fl
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    pieces = sizes(documents).select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.ceil(F.col("tokens") / capacity).cast("int") - 1)).alias("piece"))
+    pieces = sizes(documents).filter("tokens > 0").select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.ceil(F.col("tokens") / capacity).cast("int") - 1)).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("piece").cast("bigint") * capacity).alias("first_token"), F.least(F.lit(capacity).cast("bigint"), F.col("tokens") - F.col("piece").cast("bigint") * capacity).alias("tokens"))
     shards = max(1, math.ceil(pieces.count() / shard))
     return pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))).groupBy("_shard").applyInPandas(_shard(capacity, linear, quadratic), SCHEMA)

@@ -320,6 +320,7 @@ def find_defects(pairs: DataFrame, documents: DataFrame, per_language: int = 200
 
     A null question can only have an empty, refusing or truncated answer. An empty table gives an empty result.
     """
+    pairs = pairs.select("request_id", F.col("item_index").cast("int").alias("item_index"), "q", "a")
     langs, table = language_model(documents, per_language)
     ends = end_model(pairs.select("a"), share)
     shared = pairs.sparkSession.sparkContext.broadcast((langs, table, ends))
@@ -328,7 +329,7 @@ def find_defects(pairs: DataFrame, documents: DataFrame, per_language: int = 200
         langs, table, ends = shared.value
         for b in it:
             rows = []
-            for r in b.select(["request_id", "item_index", "q", "a"]).to_pylist():
+            for r in b.to_pylist():
                 q, a = r["q"], r["a"]
                 if is_empty(a):
                     d = "empty"
