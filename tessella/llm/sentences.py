@@ -253,7 +253,7 @@ def learn(records: DataFrame, share: float = 2e-6, significant: float = 10.83, c
                     model.collocations[lang].add(("#", x[1:]))
             continue
         more = sum(c for x, c in then.items() if x == "," or x[1:] == "#" or x not in model.starters[lang])
-        if more > 2 * continues * n and likelihood_ratio(more, n, continues * 1e6, 1e6) > significant:
+        if more >= 5 and more > 2 * continues * n and likelihood_ratio(more, n, continues * 1e6, 1e6) > significant:
             model.abbreviations[lang].add(w)
             for x, c in then.items():
                 s = starts.get((lang, x), 0)

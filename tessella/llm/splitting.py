@@ -25,7 +25,8 @@ from tessella.common import latest
 from tessella.llm.tokens import token_count, token_spans
 
 _LINE = regex.compile(r"[\r\n]+")
-_SENTENCE = regex.compile(r"(?<![\s\d]\p{Lu})(?<!\b(?:No|Nr|Dr|Mr|Mrs|St|Fig|Abb|Tab|vs|ca|cf|z|bzw|Sr|Sra|ext|approx|ej|ex|fig|pág|рис|стр|См))(?:[.!?؟।։]+[\"'”’»)\]]*(?=\s)|[。！？｡][」』”’)）]*|…+(?=\s+\p{Lu}))")
+# Abbreviations and single letters behind which a full stop is no natural place for a cut.
+_SENTENCE = regex.compile(r"(?<![\s.(]\p{L})(?<!\b(?:No|Nr|Dr|Mr|Mrs|St|Fig|Abb|Tab|vs|ca|cf|z|bzw|Sr|Sra|ext|approx|ej|ex|fig|pág|рис|стр|См))(?:[.!?؟।։]+[\"'”’»)\]]*(?=\s)|[。！？｡][」』”’)）]*|…+(?=\s+\p{Lu}))")
 SCHEMA = T.StructType(
     [T.StructField(n, t) for n, t in (("chunk_id", T.StringType()), ("piece", T.IntegerType()), ("start_char", T.IntegerType()), ("end_char", T.IntegerType()), ("overlap_tokens", T.IntegerType()), ("tokens", T.IntegerType()), ("max_tokens", T.IntegerType()), ("fits", T.BooleanType()), ("text", T.StringType()))]
 )
