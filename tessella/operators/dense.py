@@ -8,7 +8,7 @@ task are shuffled, never all pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tessella.functions.text import let
+
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once: a lambda's variable is not copied into every place that names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def vector_fault(v: Column, dim: int | None = None) -> Column:
     """Why a vector cannot be stored or searched for: null, empty, dimension, not_finite or zero; null if it can."""
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.common import blank, strip
-from tessella.functions.text import has_back_reference, llm_object
+from tessella.functions.text import has_back_reference, let, llm_object
 
 TEXT_LIMIT, REWRITE_LIMIT, PASSAGE_LIMIT = 20000, 2000, 5000
 
@@ -55,32 +55,42 @@ def route(history: Column, question: Column, rewrite: Column, mode: str = "condi
     return F.when(refers & (F.size(history) == 0), "clarify").when(refers & ~usable, "clarify").when(refers, "search_with_rewrite").otherwise("search")
 
 
-ANSWER = "response_type string, answerable boolean, answer string, citation_ids array<string>, missing_information array<string>"
-
-
 def answer_faults(content: Column, citations: Column) -> Column:
     """The rules that a model's reply breaks, as an array of names; citations: array of the ids that it may cite."""
-    v = F.try_parse_json(llm_object(content))
-    kind = lambda p: F.schema_of_variant(F.variant_get(v, p, "variant"))
-    is_ = lambda p, t: F.coalesce(kind(p) == t, F.lit(False))
-    rtype = F.when(is_("$.response_type", "STRING"), F.variant_get(v, "$.response_type", "string"))
-    flag = F.when(is_("$.answerable", "BOOLEAN"), F.variant_get(v, "$.answerable", "boolean"))
-    answer = F.when(is_("$.answer", "STRING"), F.variant_get(v, "$.answer", "string"))
-    strings = lambda p: F.when(F.coalesce(kind(p).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False)), F.try_variant_get(v, p, "array<string>"))
-    cited, missing = strings("$.citation_ids"), strings("$.missing_information")
-    has_missing = F.coalesce(F.array_contains(F.json_object_keys(llm_object(content)), "missing_information"), F.lit(False))
-    known_type = F.coalesce(rtype.isin("answer", "clarify", "abstain"), F.lit(False))
+    return let(llm_object(content), lambda text: let(F.try_parse_json(text), lambda v: let(_reply(v, text), lambda r: _broken(r, citations))))
+
+
+def _reply(v: Column, text: Column) -> Column:
+    """The fields of a parsed reply, each null unless it has its type."""
+    kind = lambda p: F.schema_of_variant(F.try_variant_get(v, p, "variant"))
+    typed = lambda p, t, as_: F.when(F.coalesce(kind(p).isin(*t), F.lit(False)), F.try_variant_get(v, p, as_))
+    strings = ("ARRAY<STRING>", "ARRAY<VOID>")
+    return F.struct(
+        v.isNull().alias("broken"),
+        typed("$.response_type", ("STRING",), "string").alias("type"),
+        typed("$.answerable", ("BOOLEAN",), "boolean").alias("flag"),
+        typed("$.answer", ("STRING",), "string").alias("answer"),
+        typed("$.citation_ids", strings, "array<string>").alias("cited"),
+        typed("$.missing_information", strings, "array<string>").alias("missing"),
+        F.coalesce(F.array_contains(F.json_object_keys(text), "missing_information"), F.lit(False)).alias("has_missing"),
+    )
+
+
+def _broken(r: Column, citations: Column) -> Column:
+    no = F.lit(False)
+    known_type = F.coalesce(r["type"].isin("answer", "clarify", "abstain"), no)
+    some = F.size(r["cited"]) > 0
     rules = (
-        ("not_an_object", v.isNull()),
+        ("not_an_object", r["broken"]),
         ("response_type", ~known_type),
-        ("answerable", flag.isNull()),
-        ("answer", F.coalesce(blank(answer), F.lit(True))),
-        ("citations", cited.isNull()),
-        ("unknown_citation", F.coalesce(F.size(F.array_except(cited, citations)) > 0, F.lit(False))),
-        ("repeated_citation", F.coalesce(F.size(F.array_distinct(cited)) < F.size(cited), F.lit(False))),
-        ("answer_without_citation", F.coalesce((rtype == "answer") & (~flag | (F.size(cited) == 0)), F.lit(False))),
-        ("citation_without_answer", F.coalesce(known_type & (rtype != "answer") & (flag | (F.size(cited) > 0)), F.lit(False))),
-        ("missing_information", has_missing & missing.isNull()),
+        ("answerable", r["flag"].isNull()),
+        ("answer", F.coalesce(blank(r["answer"]), F.lit(True))),
+        ("citations", r["cited"].isNull()),
+        ("unknown_citation", F.coalesce(F.size(F.array_except(r["cited"], citations)) > 0, no)),
+        ("repeated_citation", F.coalesce(F.size(F.array_distinct(r["cited"])) < F.size(r["cited"]), no)),
+        ("answer_without_citation", F.coalesce((r["type"] == "answer") & (~r["flag"] | ~some), no)),
+        ("citation_without_answer", F.coalesce(known_type & (r["type"] != "answer") & (r["flag"] | some), no)),
+        ("missing_information", r["has_missing"] & r["missing"].isNull()),
     )
     return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))
 

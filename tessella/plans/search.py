@@ -72,14 +72,14 @@ def scoped_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     doubled = F.transform("embedding", lambda x: x * 2)
-    return v.select("vec_id", F.transform(dense.normalize(doubled), lambda x: F.round(x.cast("double"), 5)).alias("vector"))
+    return v.select("vec_id", F.transform(dense.normalize(doubled), lambda x: F.round(x.cast("double"), 5) + 0.0).alias("vector"))
 
 
 def mean_pool_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token states are a vector, its double and a masked one."""
     v = table(spark, sf_dir, "embeddings")
     states = F.array(F.col("embedding"), F.transform("embedding", lambda x: x * 2), F.transform("embedding", lambda x: x * 0 + 1))
-    return v.select("vec_id", F.transform(dense.mean_pool(states, F.array(F.lit(1), F.lit(1), F.lit(0))), lambda x: F.round(x, 5)).alias("vector"))
+    return v.select("vec_id", F.transform(dense.mean_pool(states, F.array(F.lit(1), F.lit(1), F.lit(0))), lambda x: F.round(x, 5) + 0.0).alias("vector"))
 
 
 def _two_way(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -175,8 +175,8 @@ SQL = {
     "bm25_topk": f"WITH {_POST}, {_sql_bm25('b', _TITLE)} SELECT * FROM b",
     "dense_topk": f"WITH {_sql_dense('e')} SELECT * FROM e",
     "scoped_dense_topk": "WITH " + _sql_dense("e", 0, "v.label = (SELECT label FROM embeddings WHERE vec_id = 0)", 10) + " SELECT * FROM e",
-    "vector_normalize": "SELECT vec_id, list_transform(embedding, lambda x: round((x * 2 / sqrt(list_sum(list_transform(embedding, lambda y: 4 * y::DOUBLE * y::DOUBLE))))::FLOAT::DOUBLE, 5)) AS vector FROM embeddings",
-    "mean_pool_l2": "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 5)) AS vector FROM embeddings",
+    "vector_normalize": "SELECT vec_id, list_transform(embedding, lambda x: round((x * 2 / sqrt(list_sum(list_transform(embedding, lambda y: 4 * y::DOUBLE * y::DOUBLE))))::FLOAT::DOUBLE, 5) + 0.0::DOUBLE) AS vector FROM embeddings",
+    "mean_pool_l2": "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 5) + 0.0::DOUBLE) AS vector FROM embeddings",
     "hybrid_search": _TWO + _sql_fused(_W2, 5) + " SELECT query_id, ordinal, round(score, 9) AS score, rank FROM best",
     "rrf_two_way": _TWO + _sql_fused(_W2, 5) + " SELECT query_id, ordinal, rank, round(p0, 9) AS bm25_part, round(p1, 9) AS dense_part FROM best",
     "ablation_topk": _TWO + _sql_fused(_W2, 20) + " SELECT query_id, k::INT AS final_k, count(*) AS results, round(sum(score), 8) AS mass FROM best, range(1, 21) r(k) WHERE rank <= k GROUP BY 1, 2",
