@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,27 +14,28 @@ from pyspark.sql import functions as F
 FLUSH = 200_000
 
 
-def key_counts(df: DataFrame, update: Callable[[Counter, list], None]) -> DataFrame:
-    """(key, n): `update` adds the keys (strings) of a list of rows (dicts, or plain values for a single column) to a counter."""
+def key_counts(df: DataFrame, update: Callable[[Counter, list], None], spell: Callable[[Any], str | None] = str) -> DataFrame:
+    """(key, n): `update` adds the keys of a list of rows (dicts, or plain values for a single column) to a counter. Keys may be anything
+    hashable; `spell` makes a string of each distinct one when it is handed on, or None for one that is not counted."""
     single = len(df.columns) == 1
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             rows = b.column(0).to_pylist() if single else b.to_pylist()
-            for k in range(0, len(rows), 1000):
-                counter: Counter = Counter()
-                for j in range(k, min(k + 1000, len(rows)), 50):
-                    update(counter, rows[j : min(j + 50, k + 1000)])
-                    if len(counter) > FLUSH:
-                        yield _batch(counter)
-                        counter = Counter()
-                yield _batch(counter)
+            counter: Counter = Counter()
+            for j in range(0, len(rows), 50):
+                update(counter, rows[j : j + 50])
+                if len(counter) > FLUSH:
+                    yield _batch(counter, spell)
+                    counter = Counter()
+            yield _batch(counter, spell)
 
     return df.mapInArrow(batches, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _batch(counter: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], names=["key", "n"])
+def _batch(counter: Counter, spell: Callable[[Any], str | None]) -> pa.RecordBatch:
+    spelt = [(k, n) for k, n in ((spell(x), n) for x, n in counter.items()) if k is not None]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in spelt], pa.string()), pa.array([n for _, n in spelt], pa.int64())], names=["key", "n"])
 
 
 def frequent(counts: DataFrame, total: int, share: float, least: int = 2) -> DataFrame:

@@ -27,6 +27,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import pyarrow as pa
 import regex
@@ -194,8 +195,7 @@ def _update(counter: Counter, rows: list) -> None:
             continue
         start = _LABEL.match(text)
         first = _WORD_AT.match(text, start.end() if start else 0)
-        for w in _WORDS.findall(text):
-            counter[f"T\t{lang}\t{cased(w)}"] += 1
+        counter.update(zip(repeat(lang), _WORDS.findall(text)))
         if first and first[1]:
             counter[f"S\t{lang}\t{cased(first[1])}"] += 1
         for a, e, mark in _marks(text):
@@ -214,6 +214,10 @@ def _update(counter: Counter, rows: list) -> None:
                 counter[f"A\t{lang}\t{shape(before)}\t{then}"] += 1
 
 
+def _spell(key: str | tuple[str, str]) -> str:
+    return key if isinstance(key, str) else f"T\t{key[0]}\t{cased(key[1])}"
+
+
 def likelihood_ratio(k1: float, n1: float, k2: float, n2: float) -> float:
     """Dunning's statistic for two binomial samples."""
 
@@ -228,7 +232,7 @@ def likelihood_ratio(k1: float, n1: float, k2: float, n2: float) -> float:
 
 def learn(records: DataFrame, share: float = 2e-6, significant: float = 10.83, continues: float = 0.05) -> Model:
     """records: kind, text. Counts of all records; the model holds what is significant at 0.1 %."""
-    counts = key_counts(records.select("kind", "text"), _update).cache()
+    counts = key_counts(records.select("kind", "text"), _update, _spell).cache()
     total = counts.filter("key like 'T%'").agg(F.sum("n")).head()[0] or 0
     sums = {(r["kind"], r["lang"]): r["n"] for r in counts.groupBy(F.substring("key", 1, 1).alias("kind"), F.split("key", "\t")[1].alias("lang")).agg(F.sum("n").alias("n")).collect()}
     kept = [(r["key"].split("\t"), r["n"]) for r in frequent(counts, total, share).collect()]
