@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.common import blank
+from tessella.common import blank, durable
 from tessella.llm.tokens import token_count, token_spans
 
 SCHEMA = "doc_id bigint, piece int, first_token bigint, tokens bigint, container_id string"
@@ -68,6 +68,7 @@ def pack(documents: DataFrame, capacity: int, linear: float = 1.0, quadratic: fl
         raise ValueError("capacity must be at least 1")
     pieces = sizes(documents).filter("tokens > 0").select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.ceil(F.col("tokens") / capacity).cast("int") - 1)).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("piece").cast("bigint") * capacity).alias("first_token"), F.least(F.lit(capacity).cast("bigint"), F.col("tokens") - F.col("piece").cast("bigint") * capacity).alias("tokens"))
+    pieces = durable(pieces)  # a few bytes a document; counting them must not count all tokens again
     shards = max(1, math.ceil(pieces.count() / shard))
     return pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))).groupBy("_shard").applyInPandas(_shard(capacity, linear, quadratic), SCHEMA)
 
