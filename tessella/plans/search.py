@@ -56,7 +56,8 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25_search(lexical.build_index(corpus(spark, sf_dir)), asked(spark, sf_dir))
+    q = asked(spark, sf_dir)
+    return lexical.bm25_search(lexical.build_index(corpus(spark, sf_dir), lexical.query_terms(q)), q)
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,8 @@ def mean_pool_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two_way(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return fusion.hybrid_search(lexical.build_index(corpus(spark, sf_dir)), vectors(spark, sf_dir), asked(spark, sf_dir), asked_vectors(spark, sf_dir), final_k=k)
+    q = asked(spark, sf_dir)
+    return fusion.hybrid_search(lexical.build_index(corpus(spark, sf_dir), lexical.query_terms(q)), vectors(spark, sf_dir), q, asked_vectors(spark, sf_dir), final_k=k)
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +104,9 @@ def ablation_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _four_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = lexical.build_index(corpus(spark, sf_dir))
-    return fusion.hybrid_search_with_rewrite(index, vectors(spark, sf_dir), (asked(spark, sf_dir), asked_vectors(spark, sf_dir)), (rewritten(spark, sf_dir), asked_vectors(spark, sf_dir, 1)))
+    q, r = asked(spark, sf_dir), rewritten(spark, sf_dir)
+    index = lexical.build_index(corpus(spark, sf_dir), lexical.query_terms(q.unionByName(r)))
+    return fusion.hybrid_search_with_rewrite(index, vectors(spark, sf_dir), (q, asked_vectors(spark, sf_dir)), (r, asked_vectors(spark, sf_dir, 1)))
 
 
 def hybrid_search_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
