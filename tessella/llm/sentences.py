@@ -55,8 +55,10 @@ _HIDDEN = regex.compile(r"[\p{Cf}]+")
 _WIDE = {c: c - 0xFEE0 for a, b in ((0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)) for c in range(a, b + 1)}
 _LATIN = _WIDE | {ord(a): b for a, b in LOOKALIKES.items() if len(b) == 1}
 _SCRIPTS = (("ru", r"\p{Cyrillic}"), ("ar", r"\p{Arabic}"), ("hi", r"\p{Devanagari}"), ("th", r"\p{Thai}"), ("ko", r"\p{Hangul}"), ("el", r"\p{Greek}"), ("zh", r"\p{Han}|\p{Hiragana}|\p{Katakana}"))
-_SCRIPT = [(k, regex.compile(p)) for k, p in _SCRIPTS]
-_ROMAN = regex.compile(r"\p{Latin}")
+_SCRIPT = [(k, regex.compile(f"(?:{p})+")) for k, p in _SCRIPTS]
+_FOREIGN = regex.compile("|".join(p for _, p in _SCRIPTS))
+_ROMAN = regex.compile(r"\p{Latin}+")
+_TO_MAP = regex.compile("[" + "".join(map(chr, _LATIN)) + "]")
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _MARK = regex.compile(r"\.+|[!?؟。！？｡।॥۔…]+")
 _NUMBER = regex.compile(r"\p{N}+(?:[.,:/-]\p{N}+)*")
@@ -74,39 +76,46 @@ def cased(word: str) -> str:
     return ("u" if word[:1].isupper() else "l") + shape(word)
 
 
+def _length(p: regex.Pattern, text: str) -> int:
+    """Number of characters in the runs that a pattern finds."""
+    return sum(map(len, p.findall(text)))
+
+
 def readable(text: str) -> tuple[str, list[int] | None]:
     """The text as it is analysed, and the offset of each of its characters (None: the same). Invisible characters are left out;
-    full-width letters and, in Latin texts, look-alike letters are replaced one for one."""
+    full-width letters and, in mostly Latin texts, look-alike letters are replaced one for one."""
     if text.isascii():
         return text, None
     at = None
     if _HIDDEN.search(text):
         at = [i for i, c in enumerate(text) if unicodedata.category(c) != "Cf"]
         text = "".join(text[i] for i in at)
-    wide = text.translate(_WIDE)
-    roman = len(_ROMAN.findall(wide))
-    return (text.translate(_LATIN) if roman and roman * 2 > sum(c.isalpha() and ord(c) < 0x2E80 for c in wide) and not _mostly(wide, roman) else wide), at
-
-
-def _mostly(text: str, roman: int) -> bool:
-    """More ideographs, Thai or other letters beyond the alphabetic scripts than Latin ones."""
-    return sum(ord(c) >= 0x0590 and c.isalpha() for c in text) > roman
+    if not _TO_MAP.search(text):
+        return text, at
+    text = text.translate(_WIDE)
+    roman = _length(_ROMAN, text)
+    # letters of the alphabets that look-alikes come from stand below U+0590, those of other scripts above
+    others = [c for c in text if c.isalpha() and c > "\u024f"]
+    near = sum(c < "\u0590" for c in others)
+    return (text.translate(_LATIN) if roman > near and roman >= len(others) - near else text), at
 
 
 def languages(text: str) -> tuple[str, ...]:
     """The script's language; for the Latin script by function words, and every language that comes close: short and mixed texts
     are read with the abbreviations of all of them."""
-    if not text.isascii():
-        n = {k: len(p.findall(text)) for k, p in _SCRIPT}
+    if not text.isascii() and _FOREIGN.search(text):
+        n = {k: _length(p, text) for k, p in _SCRIPT}
         k = max(n, key=n.get)
         # CJK, Thai and the like in a text full of Latin names still are its language
-        if n[k] and n[k] * (3 if k in ("zh", "th", "hi", "ar") else 1) >= len(_ROMAN.findall(text)):
+        if n[k] * (3 if k in ("zh", "th", "hi", "ar") else 1) >= _length(_ROMAN, text):
             return (k,)
-    votes: Counter = Counter()
-    for w in _WORDS.findall(text.lower()):
-        votes.update(_KNOWN.get(w, ()))
-    most = votes.most_common()
-    return tuple(k for k, n in most if n >= most[0][1] - 1 or n >= 0.2 * most[0][1]) or tuple(FUNCTION_WORDS)
+    votes = dict.fromkeys(FUNCTION_WORDS, 0)
+    for w in text.lower().replace("'", " ").replace("’", " ").split():
+        for k in _KNOWN.get(w, ()):
+            votes[k] += 1
+    most = max(votes.values())
+    close = [k for k in sorted(votes, key=votes.get, reverse=True) if votes[k] and (votes[k] >= most - 1 or votes[k] >= 0.2 * most)]
+    return tuple(close) or tuple(FUNCTION_WORDS)
 
 
 def quoted(text: str) -> list[tuple[int, int]]:
