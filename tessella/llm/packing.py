@@ -3,7 +3,9 @@
 Method: cost-balanced packing. A container is a training sequence; a document of n tokens costs linear*n + quadratic*n**2
 (attention inside the document). Documents are assigned in descending order of size, each to the sequence of
 lowest cost that has room for it; a new sequence is opened only when none has. A document longer than the
-capacity is cut into pieces of exactly the capacity and a rest; no other document is cut.
+capacity is cut into pieces of exactly the capacity and a rest; no other document is cut. Balancing alone leaves a little
+room in every sequence, too little for any document; so the smaller documents, half of all tokens, are assigned to
+the sequence that they fill most tightly instead.
 
 Sizes are counted in the JVM, so only (doc_id, piece, size) is shuffled. Documents are spread at random over shards of
 about `shard` pieces and each shard is packed by itself: one shard is one bounded task, and the room lost by
@@ -27,16 +29,24 @@ from tessella.llm.tokens import token_count, token_spans
 SCHEMA = "doc_id bigint, piece int, first_token bigint, tokens bigint, container_id string"
 
 
-def assign(sizes: np.ndarray, capacity: int, linear: float, quadratic: float) -> np.ndarray:
-    """The sequence number of each size; sizes in descending order, none above the capacity."""
+def assign(sizes: np.ndarray, capacity: int, linear: float, quadratic: float, tail: float = 0.5) -> np.ndarray:
+    """The sequence number of each size; sizes in descending order, none above the capacity. The sizes that make up the last `tail` of all
+    tokens go where they fit most tightly."""
     n = max(1, math.ceil(int(sizes.sum()) / capacity))
-    room, cost = np.full(n, capacity, dtype=np.int64), np.zeros(n)
+    room, cost = np.zeros(2 * n + 64, dtype=np.int64), np.zeros(2 * n + 64)  # sequences from n on are not open yet
+    room[:n] = capacity
     out = np.empty(len(sizes), dtype=np.int64)
+    to_come = int(sizes.sum())
+    balanced = tail * to_come
     for i, size in enumerate(sizes.tolist()):
-        k = int(np.argmin(np.where(room >= size, cost, np.inf)))
+        wish = cost[:n] if to_come > balanced else room[:n]
+        to_come -= size
+        k = int(np.argmin(np.where(room[:n] >= size, wish, np.inf)))
         if room[k] < size:
-            room, cost = np.append(room, np.full(max(1, n // 64), capacity)), np.append(cost, np.zeros(max(1, n // 64)))
-            k = int(np.argmin(np.where(room >= size, cost, np.inf)))
+            if n == len(room):
+                room, cost = np.append(room, np.zeros(n, dtype=np.int64)), np.append(cost, np.zeros(n))
+            k, n = n, n + 1
+            room[k] = capacity
         out[i] = k
         room[k] -= size
         cost[k] += linear * size + quadratic * size * size
