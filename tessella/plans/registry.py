@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import conversation, corpus, documents, hierarchy, search
+from tessella.plans import conversation, corpus, documents, hierarchy, search, service
 
-MODULES = (search, conversation, documents, corpus, hierarchy)
+MODULES = (search, conversation, documents, corpus, service, hierarchy)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
