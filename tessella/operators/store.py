@@ -10,9 +10,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tessella.common import durable
+from tessella.common import dense_ordinals, durable
 from tessella.operators.dense import normalize, vector_fault
 
 # The kinds of records and their identifiers; kinds with None are numbered where they have none.
@@ -21,15 +20,6 @@ NEEDS_ID = ("documents", "sections", "blocks", "chunks")
 SCHEMA_VERSION = "tessella-store-v1"
 
 
-def dense_ordinals(rows: DataFrame, *order: str) -> DataFrame:
-    """`rows` with ordinal 0, 1, 2, ... in the stated order, without gathering them in one task: rows are range-partitioned by the order and
-    numbered in each partition, and the partitions' sizes, one number each, give the offsets."""
-    spread = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
-    sizes = spread.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
-    offsets = sizes.select("_p", "_first", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    return spread.join(F.broadcast(offsets), "_p").withColumn("ordinal", F.col("_offset") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_first", "_offset")  # one row a partition
-
-
 def record_faults(kind: str, rows: DataFrame) -> DataFrame:
     """(record_id, fault) of records whose identifier is missing or not unique."""
     if kind not in KINDS:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessella.common import durable, latest
+from tessella.common import dense_ordinals, durable, latest
 
 
 def valid_sections(sections: DataFrame) -> DataFrame:
@@ -72,7 +72,9 @@ def _cycles(lost: DataFrame) -> DataFrame:
 
 
 def _arcs(forest: DataFrame, buckets: int) -> DataFrame:
-    """The Euler tour as a linked list: (arc, next); arcs are d<id> and u<id>. forest: id, parent, ordinal."""
+    """The Euler tour as a linked list: (arc, next); arc 2*id goes down into a node and 2*id+1 up out of it. forest: id (bigint), parent,
+    ordinal."""
+    down, up = (lambda c: F.col(c) * 2), (lambda c: F.col(c) * 2 + 1)
     kids = forest.filter("parent is not null").select("id", "parent", "ordinal", F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"))
     inside = W.partitionBy("parent", "bucket").orderBy("ordinal", "id")
     linked = kids.withColumn("sibling", F.lead("id").over(inside))
@@ -80,10 +82,10 @@ def _arcs(forest: DataFrame, buckets: int) -> DataFrame:
     chain = heads.withColumn("after", F.lead("head").over(W.partitionBy("parent").orderBy("bucket")))  # at most `buckets` rows a parent
     first = chain.groupBy("parent").agg(F.min(F.struct("bucket", "head"))["head"].alias("child"))
     ups = linked.join(chain.select("parent", "bucket", "after"), ["parent", "bucket"]).select("id", "parent", F.coalesce("sibling", "after").alias("sibling"))
-    down = forest.join(first.withColumnRenamed("parent", "id"), "id", "left").select(F.concat(F.lit("d"), "id").alias("arc"), F.coalesce(F.concat(F.lit("d"), "child"), F.concat(F.lit("u"), "id")).alias("next"))
-    up = ups.select(F.concat(F.lit("u"), "id").alias("arc"), F.coalesce(F.concat(F.lit("d"), "sibling"), F.concat(F.lit("u"), "parent")).alias("next"))
-    roots = forest.filter("parent is null").select(F.concat(F.lit("u"), "id").alias("arc"), F.lit(None).cast("string").alias("next"))
-    return down.unionByName(up).unionByName(roots)
+    into = forest.join(first.withColumnRenamed("parent", "id"), "id", "left").select(down("id").alias("arc"), F.coalesce(down("child"), up("id")).alias("next"))
+    out = ups.select(up("id").alias("arc"), F.coalesce(down("sibling"), up("parent")).alias("next"))
+    roots = forest.filter("parent is null").select(up("id").alias("arc"), F.lit(None).cast("bigint").alias("next"))
+    return into.unionByName(out).unionByName(roots)
 
 
 def list_rank(arcs: DataFrame) -> DataFrame:
@@ -106,19 +108,24 @@ def section_trees(sections: DataFrame, buckets: int = 32) -> DataFrame:
     Sections on or below a cycle have no root, depth, path or interval (null). Rows without section_id are left out;
     repeated and older rows count once; further columns of the input are ignored; an empty table gives an empty one.
     """
-    rows = durable(valid_sections(sections).withColumn("parent_id", F.expr("nullif(parent_id, '')")))
-    known = rows.select(F.col("section_id").alias("parent_id"), F.lit(True).alias("_known"))
-    nodes = durable(rows.join(known, "parent_id", "left").select(F.col("section_id").alias("id"), F.when(F.col("_known"), F.col("parent_id")).alias("parent"), "title", "ordinal"))
+    valid = valid_sections(sections).withColumn("parent_id", F.expr("nullif(parent_id, '')"))
+    # numbers in the order of section_id stand for the nodes in all rounds; the smallest number of a cycle is its smallest id
+    rows = durable(dense_ordinals(valid.withColumnRenamed("ordinal", "_place"), "section_id").withColumnRenamed("ordinal", "id"))
+    known = rows.select(F.col("section_id").alias("parent_id"), F.col("id").alias("parent"))
+    nodes = durable(rows.join(known, "parent_id", "left").select("id", "parent", "title", F.col("_place").alias("ordinal")))
     tops, lost = _ancestry(nodes.select("id", "parent", "title"))
     forest = nodes.join(tops.select("id"), "id", "left_semi").select("id", "parent", "ordinal")
-    ranks = list_rank(_arcs(forest, buckets))
-    entry = ranks.filter("arc like 'd%'").select(F.expr("substring(arc, 2)").alias("id"), F.col("rank").alias("_in"))
-    exit_ = ranks.filter("arc like 'u%'").select(F.expr("substring(arc, 2)").alias("id"), F.col("rank").alias("_out"))
+    ranks = list_rank(_arcs(forest, buckets)).select(F.floor(F.col("arc") / 2).alias("id"), (F.col("arc") % 2).alias("_way"), "rank")
+    entry = ranks.filter("_way = 0").select("id", F.col("rank").alias("_in"))
+    exit_ = ranks.filter("_way = 1").select("id", F.col("rank").alias("_out"))
     placed = tops.select("id", "root", "depth", "titles").join(entry, "id").join(exit_, "id")
     length = entry.select(F.col("id").alias("root"), F.col("_in").alias("_length"))
     placed = placed.join(length, "root").select("id", "root", "depth", F.col("titles").alias("_path"), (F.col("_length") - F.col("_in")).alias("entry"), (F.col("_length") - F.col("_out")).alias("exit"))
-    head = rows.select(F.col("section_id").alias("root"), F.col("doc_id").alias("_root_doc"), F.col("parent_id").alias("_root_parent"))
-    out = rows.select(F.col("section_id").alias("id"), "doc_id", "path").join(nodes.select("id", "parent"), "id").join(placed, "id", "left").join(head, "root", "left").join(_cycles(lost).withColumnRenamed("fault", "_loop"), "id", "left")
+    head = rows.select(F.col("id").alias("root"), F.col("section_id").alias("_root_id"), F.col("doc_id").alias("_root_doc"), F.col("parent_id").alias("_root_parent"))
+    name = rows.select(F.col("id").alias("anchor"), F.col("section_id").alias("_anchor_id"))
+    loops = _cycles(lost).join(name, "anchor").select("id", F.col("fault").alias("_loop"), "_anchor_id")
+    parents = rows.select(F.col("id").alias("parent"), F.col("section_id").alias("_parent_id"))
+    out = rows.select("id", "section_id", "doc_id", "path").join(nodes.select("id", "parent"), "id").join(parents, "parent", "left").join(placed, "id", "left").join(head, "root", "left").join(loops, "id", "left")
     fault = (
         F.when(F.col("_loop").isNotNull(), F.col("_loop"))
         .when(F.col("_root_parent").isNotNull(), F.lit("missing_parent"))
@@ -126,8 +133,8 @@ def section_trees(sections: DataFrame, buckets: int = 32) -> DataFrame:
         .when(~F.col("path").eqNullSafe(F.col("_path")), F.lit("stale_path"))
     )
     out = out.withColumn("fault", fault)
-    anchor = F.when(F.col("_loop").isNotNull(), F.col("anchor")).when(F.col("fault") == "missing_parent", F.col("_root_parent")).when(F.col("fault").isNotNull(), F.col("root"))
-    return out.select(F.col("id").alias("section_id"), "doc_id", F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", F.col("_path").alias("path"), "entry", "exit", ((F.col("exit") - F.col("entry") - 1) / 2).cast("long").alias("descendants"), "fault", anchor.alias("anchor_id"))
+    anchor = F.when(F.col("_loop").isNotNull(), F.col("_anchor_id")).when(F.col("fault") == "missing_parent", F.col("_root_parent")).when(F.col("fault").isNotNull(), F.col("_root_id"))
+    return out.select("section_id", "doc_id", F.col("_parent_id").alias("parent_id"), F.col("_root_id").alias("root_id"), "depth", F.col("_path").alias("path"), "entry", "exit", ((F.col("exit") - F.col("entry") - 1) / 2).cast("long").alias("descendants"), "fault", anchor.alias("anchor_id"))
 
 
 def faulty_sections(sections: DataFrame) -> DataFrame:
