@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import tokenize
 from tessella.operators.dense import dense_search, mean_pool, normalize, scoped, vector_fault
-from tessella.operators.fusion import weighted_rrf
+from tessella.operators.fusion import REWRITE_WEIGHTS, weighted_rrf
 from tessella.operators.lexical import bm25_search, build_index
 
 
@@ -86,3 +86,20 @@ def test_rrf(spark):
     for bad in ({"lists": []}, {"lists": [("w", ranked(spark, "a"), -1)]}, {"lists": [("w", ranked(spark, "a"), 0)]}, {"lists": lists, "k": 0}):
         with pytest.raises(ValueError):
             weighted_rrf(**bad)
+
+
+def test_weights_of_a_rewrite(spark):
+    """Six passages; the rewrite's lists lead, and each passage keeps the parts of the lists that hold it."""
+    lists = [(n, ranked(spark, *ids), w) for (n, w), ids in zip(REWRITE_WEIGHTS, (["c0"], ["c0"], ["c5"], ["c5"]), strict=True)]
+    got = weighted_rrf(lists).orderBy("rank").collect()
+    assert [r["ordinal"] for r in got] == ["c5", "c0"] and set(got[0]["components"]) == {"rewrite_bm25", "rewrite_dense"}
+    assert abs(got[0]["score"] - 0.80 / 61) < 1e-12 and abs(got[1]["score"] - 0.20 / 61) < 1e-12
+
+
+def test_empty_corpus_and_repeats(spark):
+    empty = spark.createDataFrame([], "ordinal bigint, text string")
+    q = spark.createDataFrame([(0, "a b"), (1, None)], "query_id bigint, text string")
+    assert bm25_search(build_index(empty), q).count() == 0
+    corpus = spark.createDataFrame([(0, None), (1, ""), (2, "a " * 5000)], "ordinal bigint, text string")
+    got = {(r["query_id"], r["ordinal"]): r["rank"] for r in bm25_search(build_index(corpus), q, 2).collect()}
+    assert got == {(0, 2): 1, (0, 0): 2, (1, 0): 1, (1, 1): 2}
