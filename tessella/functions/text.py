@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Callable
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.common import strip
+from tessella.common import WHITE, strip
 
 # Unicode white space, spelt out so that every regular expression engine agrees.
 BLANKS = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -41,14 +40,18 @@ def tokenize(c: Column | str) -> Column:
     return F.flatten(F.transform(parts, lambda t: F.when(t.rlike(CJK), F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), casefold)).otherwise(F.array(casefold(t)))))
 
 
+# The labels of the lexical projection and of the encoder's input.
+TITLE_LABEL, FILE_LABEL, PATH_LABEL, PASSAGE_LABEL = "document title: ", "\nfilename: ", "\nsection path: ", "passage: "
+
+
 def retrieval_text(title: Column, filename: Column, path: Column, text: Column) -> Column:
     """What lexical search indexes of a passage: title, filename and section path on lines of their own, then the text."""
     empty = F.lit("")
-    return F.concat(F.lit("document title: "), F.coalesce(title, empty), F.lit("\nfilename: "), F.coalesce(filename, empty), F.lit("\nsection path: "), F.coalesce(F.array_join(path, " > "), empty), F.lit("\n"), F.coalesce(text, empty))
+    return F.concat(F.lit(TITLE_LABEL), F.coalesce(title, empty), F.lit(FILE_LABEL), F.coalesce(filename, empty), F.lit(PATH_LABEL), F.coalesce(F.array_join(path, " > "), empty), F.lit("\n"), F.coalesce(text, empty))
 
 
 def embedding_text(path: Column, text: Column) -> Column:
-    return F.concat(F.lit("passage: "), F.coalesce(F.array_join(path, " > "), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
+    return F.concat(F.lit(PASSAGE_LABEL), F.coalesce(F.array_join(path, " > "), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
 
 
 def indexed_text(retrieval: Column, text: Column) -> Column:
@@ -89,38 +92,39 @@ def continuation_parts(title: Column) -> Column:
     return F.when(ok, F.struct(base.alias("base"), part.alias("part"), total.alias("total")))
 
 
+# Fixed value: the fence that a model may put around its reply.
+FENCE = r"(?is)^```(?:json)?\s*|\s*```$"
+
+
 def llm_object(content: Column) -> Column:
     """The JSON text of a model's reply without its code fence; null unless it is one object."""
     body = strip(content)
-    bare = F.when(body.startswith("```"), strip(F.regexp_replace(body, r"(?is)^```(?:json)?\s*|\s*```$", ""))).otherwise(body)
+    bare = F.when(body.startswith("```"), strip(F.regexp_replace(body, FENCE, ""))).otherwise(body)
     return F.when(F.try_parse_json(bare).isNotNull() & bare.startswith("{"), bare)
 
 
-def _spans_type() -> T.ArrayType:
-    return T.ArrayType(T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())]))
+# What ends a conservative sentence (a mark with its closers before a blank and a capital, digit or ideograph; an
+# ideographic mark with the blanks behind it), and the abbreviations behind which a full stop does not.
+SENTENCE_END = r"(?U)([.!?](?<!\b(?:Mr|Mrs|Dr|vs|Fig|No|e\.g|i\.e|[A-Z])\.)[\"')\]]*\s+(?=[A-Z0-9\x{4E00}-\x{9FFF}])|[。！？]\s*)"
+#: Marks the ends; a noncharacter, which no text holds.
+_SEAM = "\uffff"
 
 
-# What ends a conservative sentence, and the abbreviations behind which none ends.
-_BREAK = re.compile(r"[.!?][\"')\]]*\s+(?=[A-Z0-9一-鿿])|[。！？]\s*")
-_KEEP = re.compile(r"(?:\b(?:Mr|Mrs|Dr|vs|Fig|No|e\.g|i\.e)|\b[A-Z])\.")
+def sentences_of(c: Column) -> Column:
+    """array<struct<start_char, end_char>> of the conservative sentences, without outer white space; empty for null and blank text.
 
+    All of it runs in the JVM: the ends are marked, the text is split at the marks and the lengths of the parts give offsets.
+    """
+    parts = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), SENTENCE_END, "$1" + _SEAM), _SEAM)
+    none = F.array().cast("array<struct<start_char:int,end_char:int>>")
 
-def sentence_spans(text: str | None) -> list[dict[str, int]]:
-    """Conservative sentences of one text: half-open offsets without outer white space."""
-    if not text:
-        return []
-    cuts = [0]
-    for m in _BREAK.finditer(text):
-        near = text[max(0, m.start() - 8) : m.start() + 1]
-        if not any(k.end() == len(near) for k in _KEEP.finditer(near)):
-            cuts.append(m.end())
-    out = []
-    for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
-        piece = text[a:b]
-        if piece.strip():
-            start = a + len(piece) - len(piece.lstrip())
-            out.append({"start_char": start, "end_char": start + len(piece.strip())})
-    return out
+    def step(s: Column, part: Column) -> Column:
+        start = s["at"] + F.length(part) - F.length(F.regexp_replace(part, rf"(?U)^{WHITE}+", ""))
+        size = F.length(strip(part))
+        span = F.struct(start.alias("start_char"), (start + size).alias("end_char"))
+        return F.struct((s["at"] + F.length(part)).alias("at"), F.when(size > 0, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
 
 
 def coverage_form(text: str | None, canonical: bool) -> str | None:
@@ -139,10 +143,5 @@ def _vectorised(f: Callable, returns: T.DataType) -> Callable[[Column], Column]:
     return F.pandas_udf(run, returns)
 
 
-def sentences_of(c: Column) -> Column:
-    """array<struct<start_char, end_char>> of the conservative sentences."""
-    return _vectorised(lambda t: sentence_spans(t if isinstance(t, str) else None), _spans_type())(c)
-
-
 def coverage_text(c: Column, canonical: bool = False) -> Column:
     return _vectorised(lambda t: coverage_form(t if isinstance(t, str) else None, canonical), T.StringType())(c)

@@ -113,21 +113,17 @@ def budget_chunks(sections: DataFrame, max_tokens: int = 384, count: Callable[[s
 def align_segments(text: str, segments: list[str]) -> list[tuple[int, int]]:
     """Offsets of segments in order in a text from which they differ in white space only. Text that no segment holds, or a segment that
     is not found behind the one before, is an error; empty segments are passed over."""
-    flat, at = [], []
-    for m in regex.finditer(r"[\s\x1c-\x1f]+|[^\s\x1c-\x1f]", text):
-        flat.append(" " if m[0].isspace() else m[0])
-        at.append(m.span())
-    line, out, done = "".join(flat), [], 0
+    blank = r"[\s\x1c-\x1f]"
+    out, done = [], 0
     for s in segments:
-        wanted = " ".join(s.split())
-        if not wanted:
+        if not (parts := s.split()):
             continue
-        k = line.find(wanted, done)
-        if k < 0 or line[done:k].strip():
+        m = regex.compile(f"{blank}*({f'{blank}+'.join(map(regex.escape, parts))})").match(text, done)
+        if m is None:
             raise ValueError("a segment cannot be aligned with the text")
-        done = k + len(wanted)
-        out.append((at[k][0], at[done - 1][1]))
-    if line[done:].strip():
+        out.append(m.span(1))
+        done = m.end()
+    if text[done:].strip():
         raise ValueError("the segments leave out text")
     return out
 

@@ -13,6 +13,8 @@ from tessella.functions.text import casefold
 
 # Fixed value: the answer that stands for none.
 NON_ANSWER = "I can't answer this"
+# The headers and speakers of rendered histories, and the limits in characters.
+QUESTION_HEADER, DIALOGUE_HEADER, USER, ASSISTANT = "CURRENT QUESTION\n", "\nPRIOR DIALOGUE\n", "user: ", "\nassistant: "
 RETRIEVAL_LIMIT, ANSWER_LIMIT = 2400, 9000
 
 
@@ -42,7 +44,7 @@ def newest_within(items: Column, budget: Column, cost: Callable[[Column], Column
 
 
 def rendered(x: Column) -> Column:
-    return F.concat(F.lit("user: "), x["q"], F.lit("\nassistant: "), x["a"])
+    return F.concat(F.lit(USER), x["q"], F.lit(ASSISTANT), x["a"])
 
 
 def rewrite_history(history: Column, limit: int = RETRIEVAL_LIMIT) -> Column:
@@ -52,9 +54,9 @@ def rewrite_history(history: Column, limit: int = RETRIEVAL_LIMIT) -> Column:
 
 def retrieval_query(history: Column, question: Column, limit: int = RETRIEVAL_LIMIT) -> Column:
     """The question under its header and, as far as the limit allows, the newest turns under theirs."""
-    current = F.concat(F.lit("CURRENT QUESTION\n"), question)
+    current = F.concat(F.lit(QUESTION_HEADER), question)
     kept = newest_within(F.transform(history, rendered), F.greatest(F.lit(0), F.lit(limit) - F.length(current)), lambda x: F.length(x) + 1)
-    return F.when(F.size(kept) > 0, F.concat(current, F.lit("\nPRIOR DIALOGUE\n"), F.array_join(kept, "\n"))).otherwise(current)
+    return F.when(F.size(kept) > 0, F.concat(current, F.lit(DIALOGUE_HEADER), F.array_join(kept, "\n"))).otherwise(current)
 
 
 def answer_history(history: Column, limit: int = ANSWER_LIMIT) -> Column:

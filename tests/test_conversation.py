@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tessella.functions.text import continuation_parts, coverage_form, has_back_reference, llm_object, sentence_spans, stable_id
+from tessella.functions.text import continuation_parts, coverage_form, has_back_reference, llm_object, sentences_of, stable_id
 from tessella.operators import history as H
 from tessella.operators import qa
 from tessella.plans.conversation import BODIES
@@ -75,5 +75,7 @@ def test_small_functions(spark):
     r = spark.range(1).select(llm_object(F.lit('```json\n{"a": 1}\n```')), llm_object(F.lit("[1]")), llm_object(F.lit("{")), stable_id("sec", (F.lit('é"'), "string"), (F.lit(None).cast("string"), "string"), (F.lit(3), "number"))).head()
     import hashlib
     assert (r[0], r[1], r[2]) == ('{"a": 1}', None, None) and r[3] == "sec_" + hashlib.sha256('["é\\"",null,3]'.encode()).hexdigest()[:24]
-    assert [(s["start_char"], s["end_char"]) for s in sentence_spans("See Fig. 3. It ends. 好。再見")] == [(0, 11), (12, 20), (21, 23), (23, 25)]
+    texts = ["See Fig. 3. It ends. 好。再見", "By J. Smith. (Yes.) 2 go", " \n ", None, "a. b? C"]
+    got = [[(s["start_char"], s["end_char"]) for s in r[0]] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(sentences_of(F.col("t"))).collect()]
+    assert got == [[(0, 11), (12, 20), (21, 23), (23, 25)], [(0, 19), (20, 24)], [], [], [(0, 5), (6, 7)]]
     assert coverage_form("ａ | b\n c", True) == "abc" and coverage_form("a | b", False) == "a|b" and coverage_form(None, True) is None
