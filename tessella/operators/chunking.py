@@ -16,6 +16,7 @@ from tessella.common import blank
 _TOKEN = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f]")
 _CJK = regex.compile(r"[㐀-䶿一-鿿豈-舘並-龎\U00020000-\U000323AF]")
 _GAP = regex.compile(r"[\s\x1c-\x1f]+")
+_BLANKS = regex.compile(r"[\s\x1c-\x1f]*")
 
 
 def count_tokens(text: str) -> int:
@@ -113,16 +114,17 @@ def budget_chunks(sections: DataFrame, max_tokens: int = 384, count: Callable[[s
 def align_segments(text: str, segments: list[str]) -> list[tuple[int, int]]:
     """Offsets of segments in order in a text from which they differ in white space only. Text that no segment holds, or a segment that
     is not found behind the one before, is an error; empty segments are passed over."""
-    blank = r"[\s\x1c-\x1f]"
     out, done = [], 0
     for s in segments:
-        if not (parts := s.split()):
-            continue
-        m = regex.compile(f"{blank}*({f'{blank}+'.join(map(regex.escape, parts))})").match(text, done)
-        if m is None:
-            raise ValueError("a segment cannot be aligned with the text")
-        out.append(m.span(1))
-        done = m.end()
+        start = end = None
+        for w in s.split():
+            at = _BLANKS.match(text, done if end is None else end).end()
+            if at == end or not text.startswith(w, at):
+                raise ValueError("a segment cannot be aligned with the text")
+            start, end = at if start is None else start, at + len(w)
+        if end is not None:
+            out.append((start, end))
+            done = end
     if text[done:].strip():
         raise ValueError("the segments leave out text")
     return out
