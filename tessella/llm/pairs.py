@@ -18,6 +18,7 @@ import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -154,14 +155,19 @@ def language_model(documents: DataFrame, per_language: int = 2000, share: float
     sample = labelled.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000).select("lang", "text")
 
     def update(counter: Counter, rows: list) -> None:
-        seen: Counter = Counter()  # a word is taken apart once, however often it stands in the rows
         for r in rows:
-            seen.update((r["lang"], w) for w in runs(r["text"]))
-        for (lang, w), n in seen.items():
-            for g in grams(w):
-                counter[f"{lang}\t{g}"] += n
-
-    counts = key_counts(sample, update).cache()
+            counter.update(zip(repeat(r["lang"]), runs(r["text"])))
+
+    def apart(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:  # a distinct word is taken apart once, with its count
+            counter: Counter = Counter()
+            for key, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lang, w = key.split("\t", 1)
+                for g in grams(w):
+                    counter[f"{lang}\t{g}"] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], names=["key", "n"])
+
+    counts = key_counts(sample, update, "\t".join).mapInArrow(apart, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")).cache()
     total = counts.agg(F.sum("n")).head()[0] or 0
     kept = frequent(counts, total, share).collect()
     counts.unpersist()
@@ -212,30 +218,40 @@ def words(text: str) -> list[str]:
 
 
 def count_ends(counter: Counter, texts: list) -> None:
-    """Contexts of one to three words, with e where a sentence ends behind them and c where it goes on; the same with ^ for a
-    text's first words and the text's end."""
+    """Contexts of one to three words behind e where a sentence ends with them and c where it goes on; the same with ^ for a text's
+    first words and the text's end."""
     for text in texts:
         if text is None:
             continue
         w = words(text)
         counter["#"] += len(w)
         for n in range(1, min(len(w), SHORT) + 1):
-            counter[("e^ " if n == len(w) else "c^ ") + " ".join(w[:n])] += 1
+            counter[("e" if n == len(w) else "c", "^", *w[:n])] += 1
+        flags: list[str | None] = []
         for i in range(len(w) - 1):
             if w[i] in _STOP or w[i] == "…" or w[i] in _CLOSE:
+                flags.append(None)  # no word
                 continue
             k = i + 1
-            while k + 1 < len(w) and w[k] in _CLOSE:  # a quotation that is closed before the full stop
-                k += 1
-            end = w[k] in _STOP and w[k] != "." or w[k] == "." and (k + 1 >= len(w) or w[k + 1] not in ".,;")
-            for n in (1, 2, 3):
-                if i - n + 1 >= 0:
-                    counter[("e" if end else "c") + " ".join(w[i - n + 1 : i + 1])] += 1
+            if w[k] in _CLOSE:
+                while k + 1 < len(w) and w[k] in _CLOSE:  # a quotation that is closed before the full stop
+                    k += 1
+            end = w[k] in _STOP and (w[k] != "." or k + 1 >= len(w) or w[k + 1] not in ".,;")
+            flags.append("e" if end else "c")
+        counter.update(zip(flags, w, strict=False))
+        counter.update(zip(flags[1:], w, w[1:], strict=False))
+        counter.update(zip(flags[2:], w, w[1:], w[2:], strict=False))
+
+
+def spell_context(key: str | tuple) -> str | None:
+    if isinstance(key, str):
+        return key
+    return None if key[0] is None else key[0] + " ".join(key[1:])
 
 
 def end_model(texts: DataFrame, share: float = 1e-6) -> dict[str, tuple[int, int]]:
     """context -> (ends, all) over every text of the single column of `texts`."""
-    counts = key_counts(texts, count_ends).cache()
+    counts = key_counts(texts, count_ends, spell_context).cache()
     total = counts.filter("key = '#'").agg(F.sum("n")).head()[0] or 0
     both = counts.filter("key <> '#'").groupBy(F.expr("substring(key, 2)").alias("key")).agg(F.sum(F.when(F.col("key").startswith("e"), F.col("n")).otherwise(0)).alias("ends"), F.sum("n").alias("n"))
     out = {r["key"]: (r["ends"], r["n"]) for r in frequent(both, total, share).collect()}

@@ -1,7 +1,7 @@
 import random
 from datetime import datetime
 
-from tessella.llm.pairs import count_ends, find_defects, history_pairs, is_copy, is_empty, is_refusal, is_truncated
+from tessella.llm.pairs import count_ends, find_defects, history_pairs, is_copy, is_empty, is_refusal, is_truncated, spell_context
 
 DE = ["Die Datei bleibt {n} Tage erhalten.", "Nur Administratoren dürfen die Datei ändern.", "Das Archiv wird um Mitternacht gewechselt, solange der Code nicht erscheint.", "Öffnen Sie das Gehäuse des Gerätes nicht."]
 EN = ["The archive is rotated at midnight.", "Only administrators may edit the file within {n} seconds.", "Press and hold the reset key for {n} seconds.", "The supply voltage drops to {n} volts on port {n}."]
@@ -36,8 +36,8 @@ def model():
     counter = Counter()
     count_ends(counter, [sentences(rng, bank, 4) for bank in (DE, EN, ZH) for _ in range(400)])
     out = {}
-    for k, n in counter.items():
-        if k != "#":
+    for key, n in counter.items():
+        if (k := spell_context(key)) not in ("#", None):
             e, t = out.get(k[1:], (0, 0))
             out[k[1:]] = (e + n * (k[0] == "e"), t + n)
     return out
