@@ -47,10 +47,20 @@ def durable(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessella-"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a plain scan over at least as many partitions as there are cores: a few files of much text, worked on by the character, would
+    leave cores idle. A scan of enough partitions, which is every large one, and a plan that shuffles anyway are left as they are."""
+    plan = df._jdf.queryExecution().executedPlan()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or plan.execute().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def strip(c: Column | str) -> Column:
     """Trim every kind of Unicode white space."""
     return F.regexp_replace(c, rf"(?U)^{WHITE}+|{WHITE}+$", "")

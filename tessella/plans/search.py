@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.common import latest, table
+from tessella.common import latest, spread, table
 from tessella.functions import text as X
 from tessella.operators import dense, fusion, lexical
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), "text"))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def asked_vectors(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame
 
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.tokenize("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
 def bm25_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
