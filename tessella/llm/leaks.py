@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.common import spread
+
 # Languages whose passages are measured in characters.
 BY_CHARACTER = ("zh", "ja", "th")
 _MARKUP = regex.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|&(?:[A-Za-z]+|#\d+|#[xX][0-9A-Fa-f]+);|\]\([^()\s]*\)", regex.S)
@@ -113,7 +115,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, words: int = 12, chars: i
     """
     items = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "lang", "text").distinct()
     blocks = max(1, math.ceil(items.count() / block))
-    docs = documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = spread(documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     out = None
     for k in range(blocks):
         some = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]

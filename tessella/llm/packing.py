@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.common import blank, durable
+from tessella.common import blank, durable, spread
 from tessella.llm.tokens import token_count, token_spans
 
 SCHEMA = "doc_id bigint, piece int, first_token bigint, tokens bigint, container_id string"
@@ -64,7 +64,7 @@ def _shard(capacity: int, linear: float, quadratic: float) -> Callable[[tuple, p
 
 def sizes(documents: DataFrame) -> DataFrame:
     """(doc_id, tokens) of the non-blank documents; a doc_id delivered more than once counts once, by its longest text."""
-    full = documents.filter("doc_id is not null").filter(~blank("text"))
+    full = spread(documents.filter("doc_id is not null").filter(~blank("text")).select("doc_id", "text"))
     return full.select(F.col("doc_id").cast("bigint").alias("doc_id"), token_count(F.col("text")).cast("bigint").alias("tokens")).groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
 
