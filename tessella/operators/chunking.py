@@ -78,19 +78,28 @@ def budget_spans(text: str, budget: int, count: Callable[[str], int] = count_tok
     return out
 
 
-CHUNK = T.StructType([T.StructField("section_id", T.StringType()), T.StructField("piece", T.IntegerType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType()), T.StructField("tokens", T.IntegerType())])
+CHUNK = T.StructType([T.StructField("section_id", T.StringType()), T.StructField("piece", T.LongType()), T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType()), T.StructField("tokens", T.IntegerType()), T.StructField("text", T.StringType())])
 
 
-def section_texts(blocks: DataFrame) -> DataFrame:
-    """(section_id, text): a section's blocks in order, joined by a line break. A section's text is the unit that is chunked."""
-    rows = blocks.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "block_id", F.coalesce("text", F.lit("")).alias("text")))).alias("_b"))
-    return rows.select("section_id", F.array_join(F.transform("_b", lambda x: x["text"]), "\n").alias("text"))
+def section_texts(blocks: DataFrame, stretch: int = 1_000_000) -> DataFrame:
+    """(section_id, base, text): a section's blocks in order, joined by a line break.
+
+    A section is the unit that is chunked; one of more than `stretch` characters comes in several rows, cut between blocks, each with
+    the offset `base` of its beginning, so that no row and no task holds more than a stretch and a block.
+    """
+    order = W.partitionBy("section_id").orderBy("ordinal", "block_id")
+    text = F.coalesce("text", F.lit(""))
+    at = F.coalesce(F.sum(F.length(text) + 1).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.select("section_id", at.cast("long").alias("_at"), text.alias("text")).withColumn("_k", F.floor(F.col("_at") / stretch))
+    rows = placed.groupBy("section_id", "_k").agg(F.min("_at").alias("base"), F.array_sort(F.collect_list(F.struct("_at", "text"))).alias("_b"))
+    return rows.select("section_id", "base", F.array_join(F.transform("_b", lambda x: x["text"]), "\n").alias("text"))
 
 
 def budget_chunks(sections: DataFrame, max_tokens: int = 384, count: Callable[[str], int] = count_tokens) -> DataFrame:
-    """(section_id, piece, start_char, end_char, tokens) of sections (section_id, path, text). The prefix that the encoder sees with
-    each passage counts against the budget. A section whose path alone fills it is refused: its one row has piece -1, the
-    empty span and the prefix's tokens, so the rest of the corpus is not lost with it."""
+    """(section_id, piece, start_char, end_char, tokens, text) of sections (section_id, base, path, text). piece counts from the row's base,
+    so it is unique and in order within a section. The prefix that the encoder sees with each passage counts against the budget. A
+    section whose path alone fills it is refused: its row has piece -1, the empty span and the prefix's tokens, so the rest of the corpus
+    is not lost with it."""
     if max_tokens < 1:
         raise ValueError("max_tokens must be positive")
 
@@ -98,17 +107,18 @@ def budget_chunks(sections: DataFrame, max_tokens: int = 384, count: Callable[[s
         for b in it:
             out = []
             for r in b.to_pylist():
+                base = r["base"] or 0
                 prefix = count("passage: " + " > ".join(x or "" for x in r["path"] or []))
                 room = max_tokens - prefix
                 if room < 1:
-                    out.append((r["section_id"], -1, 0, 0, prefix))
+                    out.append((r["section_id"], -1, 0, 0, prefix, ""))
                     continue
                 for k, (s, e) in enumerate(budget_spans(r["text"], room, count)):
-                    out.append((r["section_id"], k, s, e, count(r["text"][s:e])))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int32()] * 4), strict=True)], names=CHUNK.fieldNames())
+                    out.append((r["section_id"], base + k, base + s, base + e, count(r["text"][s:e]), r["text"][s:e]))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 3, pa.int32(), pa.string()), strict=True)], names=CHUNK.fieldNames())
 
-    return sections.select("section_id", "path", "text").mapInArrow(batches, CHUNK)
+    return sections.select("section_id", "base", "path", "text").mapInArrow(batches, CHUNK)
 
 
 def align_segments(text: str, segments: list[str]) -> list[tuple[int, int]]:

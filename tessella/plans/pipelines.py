@@ -39,11 +39,11 @@ def build_corpus(documents: DataFrame, items: DataFrame, max_tokens: int = 384,
     whole = F.array(F.struct(F.lit(0).alias("start_char"), F.length("text").alias("end_char")))
     spans = content.select("*", F.explode(F.when(F.col("kind") == "table_row", whole).otherwise(X.sentences_of(F.col("text")))).alias("_s")).select("*", F.col("_s.start_char").alias("source_start_char"), F.col("_s.end_char").alias("source_end_char"))
     units = spans.select(X.stable_id("su", (F.col("block_id"), "string"), (F.col("source_start_char"), "number"), (F.col("source_end_char"), "number")).alias("source_unit_id"), "doc_id", "section_id", "block_id", "page_index", "source_start_char", "source_end_char", F.expr("substring(text, source_start_char + 1, source_end_char - source_start_char)").alias("text"), "kind")
-    texts = chunking.section_texts(content).join(sections.select("section_id", "doc_id", "path"), "section_id")
-    pieces = durable(chunking.budget_chunks(texts, max_tokens))
+    named = sections.select("section_id", "doc_id", "path")
+    pieces = durable(chunking.budget_chunks(chunking.section_texts(content).join(named, "section_id"), max_tokens))
     if (bad := pieces.filter("piece < 0").head()) is not None:
         raise ValueError(f"the path of section {bad['section_id']} leaves no room for text")
-    cut = pieces.join(texts, "section_id").withColumn("text", F.expr("substring(text, start_char + 1, end_char - start_char)"))
+    cut = pieces.join(named, "section_id")
     at = chunking.canonical_offsets(content).withColumnRenamed("start_char", "_b0").withColumnRenamed("end_char", "_b1").select("section_id", "block_id", F.col("_b0").alias("start_char"), F.col("_b1").alias("end_char"), F.col("_b0").alias("block_start"))
     sources = chunking.span_intersections(at, pieces.select("section_id", "piece", "start_char", "end_char", F.col("start_char").alias("piece_start")), "section_id").join(content.select("block_id", "page_index"), "block_id")
     span = F.struct(F.col("start_char").alias("_o"), "block_id", "page_index", (F.col("start_char") - F.col("block_start")).cast("int").alias("source_start_char"), (F.col("end_char") - F.col("block_start")).cast("int").alias("source_end_char"), (F.col("start_char") - F.col("piece_start")).cast("int").alias("chunk_start_char"), (F.col("end_char") - F.col("piece_start")).cast("int").alias("chunk_end_char"))

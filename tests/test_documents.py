@@ -71,9 +71,9 @@ def test_budget_spans_partition_the_text(budget):
 
 
 def test_budget_chunks_refuse_a_full_path(spark):
-    rows = spark.createDataFrame([("s", ["a"], "one two three four"), ("t", ["a b c d e f"], "x"), ("u", None, "x")], "section_id string, path array<string>, text string")
+    rows = spark.createDataFrame([("s", ["a"], "one two three four", 0), ("t", ["a b c d e f"], "x", 0), ("u", None, "x", None), ("s", ["a"], "five", 100)], "section_id string, path array<string>, text string, base bigint")
     got = sorted((r["section_id"], r["piece"], r["start_char"], r["end_char"]) for r in C.budget_chunks(rows, 5).collect())
-    assert got == [("s", 0, 0, 8), ("s", 1, 8, 18), ("t", -1, 0, 0), ("u", 0, 0, 1)]
+    assert got == [("s", 0, 0, 8), ("s", 1, 8, 18), ("s", 100, 100, 104), ("t", -1, 0, 0), ("u", 0, 0, 1)]
 
 
 def test_alignment():
@@ -98,3 +98,11 @@ def test_boxes_and_cells(spark):
     missing = R.missing_pages(spark.createDataFrame([("d", 3), ("e", None)], "doc_id string, page_count int"), items)
     report = R.recovery_report(R.cell_status(cells, items), missing).collect()
     assert [tuple(r) for r in missing.collect()] == [("d", 2)] and [tuple(r) for r in report] == [("d", 5, 2, 3, 1, "incomplete")]
+
+
+def test_stretches_of_a_long_section(spark):
+    blocks = spark.createDataFrame([("s", f"b{i:02d}", i, "x" * 9) for i in range(20)] + [("t", "b", 0, None)], "section_id string, block_id string, ordinal int, text string")
+    whole = "\n".join(["x" * 9] * 20)
+    rows = sorted((r["section_id"], r["base"], r["text"]) for r in C.section_texts(blocks, 50).collect())
+    assert len(rows) == 5 and all(whole[b:b + len(t)] == t and len(t) <= 59 for s, b, t in rows if s == "s") and rows[-1] == ("t", 0, "")
+    assert [(r["base"], r["text"]) for r in C.section_texts(blocks.filter("section_id = 's'")).collect()] == [(0, whole)]
