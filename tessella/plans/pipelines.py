@@ -7,11 +7,12 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessella import plugins
 from tessella.common import blank, durable
 from tessella.functions import text as X
-from tessella.operators import chunking, fusion, lexical, qa, structure
+from tessella.operators import chunking, fusion, lexical, qa, recovery, structure
 from tessella.operators import history as H
 
 
@@ -19,12 +20,58 @@ class CoverageError(ValueError):
     """Text of a block is in no passage."""
 
 
-def build_corpus(documents: DataFrame, items: DataFrame, max_tokens: int = 384, encoder: plugins.Encoder | None = None) -> dict[str, DataFrame]:
-    """documents, sections, blocks, furniture, source_units, chunks and, with an encoder, vectors.
+# Labels of pictures, and of items that only hold others; the kind of a block made of a native cell.
+PICTURES = ("picture", "figure")
+CONTAINERS = ("body", "group", "furniture")
+RECOVERED = "native_pdf_text_recovery"
 
-    documents: doc_id, title, source_filename. items: doc_id, ordinal, ref, label, level, text, page_index, layer, in reading order.
+
+def _in_layout_order(items: DataFrame) -> DataFrame:
+    """Items with parent_ref, numbered as the tree is walked: trees by their root's ordinal, orphans behind. An item without a layer
+    has its root's. Containers are walked and left out."""
+    mark = lambda ref: F.to_json(F.struct(F.col("doc_id").alias("d"), ref.alias("r")))
+    marked = items.withColumn("_id", mark(F.col("ref")))
+    parent = F.when(F.expr("nullif(parent_ref, '')").isNotNull(), mark(F.col("parent_ref")))
+    order = structure.layout_order(marked.select(F.col("_id").alias("node_id"), parent.alias("parent_id"), "ordinal")).withColumnRenamed("node_id", "_id")
+    root = marked.select(F.col("_id").alias("root_id"), F.col("ordinal").alias("_of_root"), F.col("layer").alias("_root_layer"))
+    walked = marked.join(order, "_id").join(root, "root_id", "left").filter(~F.coalesce(F.col("label").isin(*CONTAINERS), F.lit(False)))
+    at = W.partitionBy("doc_id").orderBy("orphan", F.col("_of_root").asc_nulls_last(), F.col("root_id"), "position", "ref")
+    return walked.select(*[c for c in items.columns if c not in ("ordinal", "layer", "parent_ref")], F.coalesce("layer", "_root_layer").alias("layer"), F.row_number().over(at).cast("long").alias("ordinal"), F.col("orphan").alias("reading_order_unresolved"))
+
+
+def _figures(blocks: DataFrame) -> DataFrame:
+    """Pictures with the blocks of their captions, in the order in which they are stated."""
+    pictures = blocks.filter(F.col("kind").isin(*PICTURES))
+    stated = pictures.select("block_id", "doc_id", F.posexplode("caption_refs").alias("_at", "native_ref"))
+    of = blocks.filter("not coalesce(kind = 'native_pdf_text_recovery', false)").select("doc_id", "native_ref", "ordinal", F.col("block_id").alias("_c"))
+    captions = stated.join(of, ["doc_id", "native_ref"]).groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("_at", "ordinal", "_c"))).alias("_cs")).select("block_id", F.transform("_cs", lambda c: c["_c"]).alias("caption_block_ids"))  # captions of one picture
+    figure_id = X.stable_id("fig", (F.col("doc_id"), "string"), (F.col("native_ref"), "string"))
+    return pictures.join(captions, "block_id", "left").select(figure_id.alias("figure_id"), "doc_id", "section_id", "block_id", "native_ref", "page_index", "caption_refs", F.coalesce("caption_block_ids", F.array().cast("array<string>")).alias("caption_block_ids"), F.lit("unreviewed").alias("visual_status"))
+
+
+def build_corpus(documents: DataFrame, items: DataFrame, max_tokens: int = 384, encoder: plugins.Encoder | None = None, table_cells: DataFrame | None = None, native_cells: DataFrame | None = None) -> dict[str, DataFrame]:
+    """documents, sections, blocks, figures, furniture, source_units, chunks and, with an encoder, vectors and, with native cells, native_cells
+    (their status).
+
+    documents: doc_id, title, source_filename. items: doc_id, ordinal, ref, label, level, text, page_index, layer, in reading order or, with
+    a parent_ref, in the order of the children of one parent; further caption_refs (array<string>) and item_box (struct<l,t,r,b>), which native
+    cells need. table_cells: doc_id, ref (of the table), cell_index, row, col, text; a table that has some comes as its rows. native_cells:
+    doc_id, page_index, cell_ref, text, rendering_mode, cell_box; those that the layout lacks become blocks at the end of their section.
+    Items and cells of a document that is not given, and table cells without their table, are errors.
     Passages never cross sections and hold every character of the content blocks; otherwise CoverageError is raised.
     """
+    for name, part in (("item", items), ("table cell", table_cells), ("native cell", native_cells)):
+        if part is not None and (lost := part.select("doc_id").join(documents.select("doc_id"), "doc_id", "left_anti").head()) is not None:
+            raise ValueError(f"{name} of a document that is not given: {lost['doc_id']}")
+    if table_cells is not None and (lost := table_cells.join(items.filter("label = 'table'").select("doc_id", "ref"), ["doc_id", "ref"], "left_anti").head()) is not None:
+        raise ValueError(f"cell of a table that is not given: {lost['ref']}")
+    if native_cells is not None and "item_box" not in items.columns:
+        raise ValueError("native cells need the items' boxes")
+    if "parent_ref" in items.columns:
+        items = durable(_in_layout_order(items))
+    for name, kind in (("caption_refs", "array<string>"), ("item_box", "struct<l:double,t:double,r:double,b:double>"), ("reading_order_unresolved", "boolean")):
+        if name not in items.columns:
+            items = items.withColumn(name, F.lit(False if kind == "boolean" else None).cast(kind))
     items = items.join(documents.select("doc_id", F.col("title").alias("doc_title")), "doc_id")
     aside = structure.is_furniture(F.col("layer"), F.col("label"))
     body = items.filter(~aside)
@@ -33,7 +80,26 @@ def build_corpus(documents: DataFrame, items: DataFrame, max_tokens: int = 384,
     roots = documents.select("doc_id", X.stable_id("sec", (F.col("doc_id"), "string")).alias("section_id"), F.lit(None).cast("string").alias("parent_id"), F.coalesce("title", "doc_id").alias("title"), F.array(F.coalesce("title", "doc_id")).alias("path"), F.lit(0).alias("level"), F.lit(-1).cast("long").alias("place"))
     headed = scan.filter("is_section").select("doc_id", key(F.col("ref")).alias("section_id"), key(F.col("parent_ref")).alias("parent_id"), "title", "path", "level", F.col("ordinal").alias("place"))
     sections = roots.unionByName(headed)
-    blocks = body.join(scan.select("doc_id", "ref", key(F.col("section_ref")).alias("section_id")), ["doc_id", "ref"]).select(X.stable_id("blk", (F.col("doc_id"), "string"), (F.col("ref"), "string"), (F.col("text"), "string")).alias("block_id"), "doc_id", "section_id", "ordinal", "text", "page_index", F.col("label").alias("kind"), F.col("ref").alias("native_ref"))
+    placed = body.join(scan.select("doc_id", "ref", key(F.col("section_ref")).alias("section_id")), ["doc_id", "ref"])
+    placed = placed.withColumn("kind", F.col("label")).withColumn("row_index", F.lit(None).cast("int")).withColumn("cell_spans", F.lit(None).cast("array<struct<cell_index:int,start_char:int,end_char:int>>"))
+    if table_cells is not None:
+        named = table_cells.withColumn("table_ref", F.to_json(F.struct("doc_id", "ref")))
+        rows = structure.table_rows(named).join(named.select("table_ref", "doc_id", "ref").distinct(), "table_ref").select("doc_id", "ref", F.col("row_index").alias("_row"), F.col("text").alias("_text"), F.col("cell_spans").alias("_spans"))
+        by_row, is_row = placed.join(rows, ["doc_id", "ref"], "left"), F.col("_row").isNotNull()
+        placed = by_row.withColumns({"kind": F.when(is_row, "table_row").otherwise(F.col("kind")), "text": F.when(is_row, F.col("_text")).otherwise(F.col("text")), "row_index": F.col("_row").cast("int"), "cell_spans": F.col("_spans")}).drop("_row", "_text", "_spans")
+    text_id = [(F.col("doc_id"), "string"), (F.col("ref"), "string"), (F.col("text"), "string")]
+    block_id = F.when(F.col("row_index").isNull(), X.stable_id("blk", *text_id)).otherwise(X.stable_id("blk", *text_id[:2], (F.col("row_index"), "number"), text_id[2]))
+    blocks = durable(placed.select(block_id.alias("block_id"), "doc_id", "section_id", "ordinal", "text", "page_index", "kind", F.col("ref").alias("native_ref"), "row_index", "cell_spans", "caption_refs", "reading_order_unresolved", "item_box"))
+    if native_cells is not None:
+        shown = blocks.select("doc_id", "page_index", F.col("block_id").alias("item_ref"), F.struct("ordinal", F.coalesce("row_index", F.lit(0)).alias("row")).alias("item_order"), "text", "section_id", "item_box")
+        beside = items.filter(aside).select("doc_id", "page_index", F.col("ref").alias("item_ref"), F.struct("ordinal", F.lit(0).alias("row")).alias("item_order"), "text", F.lit(None).cast("string").alias("section_id"), "item_box")
+        statuses = durable(recovery.cell_status(native_cells, shown.unionByName(beside)))
+        found = native_cells.join(statuses.filter("status = 'recovered'").select("doc_id", "page_index", "cell_ref", "section_id"), ["doc_id", "page_index", "cell_ref"])
+        made = found.select(X.stable_id("blk", (F.col("doc_id"), "string"), (F.col("page_index"), "number"), (F.col("cell_ref"), "string"), (F.col("text"), "string")).alias("block_id"), "doc_id", F.coalesce("section_id", key(F.col("doc_id"))).alias("section_id"), "text", "page_index", F.lit(RECOVERED).alias("kind"), F.col("cell_ref").alias("native_ref"), F.lit(True).alias("reading_order_unresolved"), F.col("cell_box").alias("item_box"))
+        blocks = blocks.unionByName(made, allowMissingColumns=True)
+    if table_cells is not None or native_cells is not None:  # rows and recovered cells have places of their own
+        order = W.partitionBy("doc_id").orderBy(F.col("ordinal").asc_nulls_last(), "native_ref", "row_index", "page_index", "block_id")
+        blocks = blocks.withColumn("ordinal", F.row_number().over(order).cast("long"))
     blocks = durable(blocks)
     content = blocks.filter(~blank("text"))
     whole = F.array(F.struct(F.lit(0).alias("start_char"), F.length("text").alias("end_char")))
@@ -58,7 +124,9 @@ def build_corpus(documents: DataFrame, items: DataFrame, max_tokens: int = 384,
     covered = chunks.select(F.explode("source_spans").alias("s")).select(F.col("s.block_id").alias("block_id"), F.col("s.source_start_char").alias("start_char"), F.col("s.source_end_char").alias("end_char"))
     if (gap := chunking.coverage_gaps(content.select("block_id", "text"), covered).head()) is not None:
         raise CoverageError(f"block {gap['block_id']}: text from {gap['from_char']} to {gap['to_char']} is in no passage")
-    out = {"documents": documents, "sections": sections, "blocks": blocks, "furniture": items.filter(aside).drop("doc_title"), "source_units": units, "chunks": chunks}
+    out = {"documents": documents, "sections": sections, "blocks": blocks, "figures": _figures(blocks), "furniture": items.filter(aside).drop("doc_title"), "source_units": units, "chunks": chunks}
+    if native_cells is not None:
+        out["native_cells"] = statuses
     if encoder is not None:
         out["vectors"] = plugins.encode(chunks.select("chunk_id", "embedding_text"), "embedding_text", encoder).select("chunk_id", "vector", "vector_fault")
     return out

@@ -59,3 +59,42 @@ def test_answers(spark, corpus):
     assert got[7]["answer"] == "unknown_field" and got[6]["sources"] == []
     with pytest.raises(ValueError):
         answer_batch(requests, corpus, plugins.hashing_encoder(), model, final_k=21)
+
+
+def test_build_with_order_tables_figures_and_native_cells(spark):
+    documents = spark.createDataFrame([("d", "Guide", "guide.pdf")], "doc_id string, title string, source_filename string")
+    box = lambda t: (0.0, t, 100.0, t + 10)
+    rows = [
+        ("d", 0, "#/body", None, "body", None, None, None, "body", None, None), ("d", 9, "h", "#/body", "title", 1, "Restart", 0, None, None, box(0.0)), ("d", 12, "t", "#/body", "table", None, None, 0, None, None, box(20.0)),
+        ("d", 10, "g", "#/body", "group", None, None, None, None, None, None), ("d", 1, "p2", "g", "text", None, "Second line.", 0, None, None, box(50.0)), ("d", 0, "p1", "g", "text", None, "First line.", 0, None, None, box(70.0)),
+        ("d", 13, "pic", "#/body", "picture", None, None, 1, None, ["c2", "c1", "none"], box(90.0)), ("d", 14, "c1", "#/body", "caption", None, "Front view.", 1, None, None, box(120.0)), ("d", 15, "c2", "#/body", "caption", None, "Rear view.", 1, None, None, box(140.0)),
+        ("d", 1, "lost", "gone", "text", None, "Nobody links this.", 1, None, None, box(160.0)), ("d", 30, "#/furniture", None, "furniture", None, None, None, "furniture", None, None), ("d", 1, "foot", "#/furniture", "text", None, "page 1", 0, None, None, box(300.0)),
+    ]
+    B = "struct<l:double,t:double,r:double,b:double>"
+    items = spark.createDataFrame(rows, f"doc_id string, ordinal bigint, ref string, parent_ref string, label string, level int, text string, page_index int, layer string, caption_refs array<string>, item_box {B}")
+    table_cells = spark.createDataFrame([("d", "t", 0, 0, 0, "lamp"), ("d", "t", 1, 0, 1, "red"), ("d", "t", 3, 1, 1, "3 bar"), ("d", "t", 2, 1, 0, "pump"), *[("d", "t", k, k, 0, f"row {k}") for k in range(4, 12)]], "doc_id string, ref string, cell_index int, row int, col int, text string")
+    native = spark.createDataFrame([("d", 0, "n1", "pump", 0, box(21.0)), ("d", 0, "n2", "missed by the layout", 0, box(22.0)), ("d", 0, "n3", "page 1", 0, box(300.0)), ("d", 7, "n4", "Alone on its page", 0, box(0.0)), ("d", 0, "n5", "hidden", 3, box(22.0))], f"doc_id string, page_index int, cell_ref string, text string, rendering_mode int, cell_box {B}")
+    out = build_corpus(documents, items, 64, table_cells=table_cells, native_cells=native)
+    blocks = sorted(out["blocks"].collect(), key=lambda r: r["ordinal"])
+    tables = ["lamp | red", "pump | 3 bar", *[f"row {k}" for k in range(4, 12)]]
+    assert [r["text"] for r in blocks] == ["Restart", "First line.", "Second line.", *tables, None, "Front view.", "Rear view.", "Nobody links this.", "missed by the layout", "Alone on its page"]
+    assert [r["text"] for r in blocks if r["reading_order_unresolved"]] == ["Nobody links this.", "missed by the layout", "Alone on its page"]
+    assert {r["kind"] for r in blocks if r["text"] in tables} == {"table_row"} and blocks[-1]["kind"] == "native_pdf_text_recovery"
+    section = {r["title"]: r["section_id"] for r in out["sections"].collect()}
+    assert blocks[-2]["section_id"] == section["Restart"] and blocks[-1]["section_id"] == section["Guide"]
+    (figure,) = out["figures"].collect()
+    text = {r["block_id"]: r["text"] for r in blocks}
+    assert [text[b] for b in figure["caption_block_ids"]] == ["Rear view.", "Front view."] and text[figure["block_id"]] is None
+    passages = "\n".join(r["text"] for r in out["chunks"].orderBy("section_id", "piece").collect())
+    assert all(r["text"] in passages for r in blocks if r["text"]) and [r["ref"] for r in out["furniture"].collect()] == ["foot"]
+    assert {r["cell_ref"]: r["status"] for r in out["native_cells"].collect()} == {"n1": "matched", "n2": "recovered", "n3": "matched", "n4": "recovered", "n5": "invisible"}
+
+
+def test_build_refuses_items_without_document_and_cells_without_table(spark):
+    documents = spark.createDataFrame([("d", "Guide", "guide.pdf")], "doc_id string, title string, source_filename string")
+    schema = "doc_id string, ordinal bigint, ref string, label string, level int, text string, page_index int, layer string"
+    with pytest.raises(ValueError, match="item of a document"):
+        build_corpus(documents, spark.createDataFrame(ITEMS, schema))
+    items = spark.createDataFrame([r for r in ITEMS if r[0] == "d"], schema)
+    with pytest.raises(ValueError, match="cell of a table"):
+        build_corpus(documents, items, table_cells=spark.createDataFrame([("d", "t9", 0, 0, 0, "x")], "doc_id string, ref string, cell_index int, row int, col int, text string"))
