@@ -1,5 +1,6 @@
 """Queries on native text recovery and the corpus store, with their SQL. Boxes are a fixture: a block's item stands in the column and line
-that its ordinal gives, and each of its first lines is a native cell, the seventh of which is invisible and the fifth displaced."""
+that its ordinal gives, and each of its lines is a native cell; those of every seventh are invisible and of every fifth displaced.
+cell_overlap_join has, by its SQL, one cell an item, of its first line."""
 
 from __future__ import annotations
 
@@ -25,11 +26,20 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxed(spark, sf_dir).select("doc_id", "page_index", F.col("block_id").alias("item_ref"), F.col("ordinal").alias("item_order"), "text", "section_id", "item_box")
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _boxed(spark, sf_dir)
+def _cells(boxed: DataFrame) -> DataFrame:
+    """A cell for every line of every block: the box of the block's cells, divided among its lines. The first has the block's name."""
     away = F.when(F.col("ordinal") % 5 == 0, 2000.0).otherwise(0.0)
-    box = F.struct((F.col("item_box.l") + away).alias("l"), (F.col("item_box.t") + 10).alias("t"), (F.col("item_box.r") + away).alias("r"), (F.col("item_box.b") - 10).alias("b"))
-    return b.select("doc_id", "page_index", F.col("block_id").alias("cell_ref"), F.element_at(F.split("text", "\n"), 1).alias("text"), F.when(F.col("ordinal") % 7 == 0, 3).otherwise(0).alias("rendering_mode"), box.alias("cell_box"))
+    lines = boxed.select("*", F.size(F.split("text", "\n")).alias("_n"), F.posexplode(F.split("text", "\n")).alias("_k", "_line"))
+    high = (F.col("item_box.b") - F.col("item_box.t") - 20) / F.col("_n")
+    top = F.col("item_box.t") + 10 + F.col("_k") * high
+    box = F.struct((F.col("item_box.l") + away).alias("l"), top.alias("t"), (F.col("item_box.r") + away).alias("r"), (top + high).alias("b"))
+    ref = F.when(F.col("_k") == 0, F.col("block_id")).otherwise(F.concat_ws(":", "block_id", "_k"))
+    return lines.select("doc_id", "page_index", ref.alias("cell_ref"), F.col("_line").alias("text"), F.when(F.col("ordinal") % 7 == 0, 3).otherwise(0).alias("rendering_mode"), box.alias("cell_box"))
+
+
+def _first_cells(boxed: DataFrame) -> DataFrame:
+    """One cell an item, as in the SQL of cell_overlap_join."""
+    return _cells(boxed.withColumn("text", F.element_at(F.split("text", "\n"), 1)))
 
 
 def bbox_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +47,12 @@ def bbox_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _cells(spark, sf_dir).select("doc_id", "page_index", "cell_ref", "cell_box")
+    cells = _first_cells(_boxed(spark, sf_dir)).select("doc_id", "page_index", "cell_ref", "cell_box")
     return R.overlapping(cells, _items(spark, sf_dir).select("doc_id", "page_index", "item_ref", "item_box")).select("cell_ref", "item_ref")
 
 
 def native_cell_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.cell_status(_cells(spark, sf_dir), _items(spark, sf_dir)).select("cell_ref", "status", "section_id")
+    return R.cell_status(_cells(_boxed(spark, sf_dir)), _items(spark, sf_dir)).select("cell_ref", "status", "section_id")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +64,7 @@ def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recovery_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.recovery_report(R.cell_status(_cells(spark, sf_dir), _items(spark, sf_dir)), missing_pages(spark, sf_dir))
+    return R.recovery_report(R.cell_status(_cells(_boxed(spark, sf_dir)), _items(spark, sf_dir)), missing_pages(spark, sf_dir))
 
 
 def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:

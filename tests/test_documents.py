@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessella.operators import chunking as C
 from tessella.operators import recovery as R
 from tessella.operators import structure as S
+from tessella.plans import corpus as plans_corpus
 
 
 def test_sections_from_headings(spark):
@@ -106,3 +107,12 @@ def test_stretches_of_a_long_section(spark):
     rows = sorted((r["section_id"], r["base"], r["text"]) for r in C.section_texts(blocks, 50).collect())
     assert len(rows) == 5 and all(whole[b:b + len(t)] == t and len(t) <= 59 for s, b, t in rows if s == "s") and rows[-1] == ("t", 0, "")
     assert [(r["base"], r["text"]) for r in C.section_texts(blocks.filter("section_id = 's'")).collect()] == [(0, whole)]
+
+
+def test_every_line_of_a_block_is_a_native_cell(spark):
+    schema = "doc_id string, page_index int, block_id string, ordinal bigint, text string, item_box struct<l:double,t:double,r:double,b:double>"
+    boxed = spark.createDataFrame([("d", 0, "b1", 1, "first\nsecond", (0.0, 0.0, 120.0, 40.0)), ("d", 0, "b2", 5, "one", (150.0, 60.0, 270.0, 100.0)), ("d", 0, "b3", 7, "x\n\nz", (0.0, 120.0, 120.0, 160.0))], schema)
+    got = {r["cell_ref"]: (r["text"], r["rendering_mode"], tuple(r["cell_box"])) for r in plans_corpus._cells(boxed).collect()}
+    assert got["b1"] == ("first", 0, (0, 10, 120, 20)) and got["b1:1"] == ("second", 0, (0, 20, 120, 30)) and got["b2"] == ("one", 0, (2150, 70, 2270, 90))
+    assert sorted(got) == ["b1", "b1:1", "b2", "b3", "b3:1", "b3:2"] and got["b3:2"][:2] == ("z", 3)
+    assert sorted(r["cell_ref"] for r in plans_corpus._first_cells(boxed).collect()) == ["b1", "b2", "b3"]
