@@ -149,9 +149,10 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budget_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the configuration's default budget; sections whose path alone fills it come out as refused (piece -1)."""
     texts = C.section_texts(_blocks(spark, sf_dir).filter(~blank("text")).select("section_id", "block_id", "ordinal", "text"))
     paths = tree.valid_sections(table(spark, sf_dir, "sections")).select("section_id", "path")
-    return C.budget_chunks(texts.join(paths, "section_id", "left"), 1024).drop("text")
+    return C.budget_chunks(texts.join(paths, "section_id", "left"), 384).drop("text")
 
 
 def align_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

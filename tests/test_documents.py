@@ -7,6 +7,7 @@ from tessella.operators import chunking as C
 from tessella.operators import recovery as R
 from tessella.operators import structure as S
 from tessella.plans import corpus as plans_corpus
+from tessella.plans import documents as plans_documents
 
 
 def test_sections_from_headings(spark):
@@ -116,3 +117,13 @@ def test_every_line_of_a_block_is_a_native_cell(spark):
     assert got["b1"] == ("first", 0, (0, 10, 120, 20)) and got["b1:1"] == ("second", 0, (0, 20, 120, 30)) and got["b2"] == ("one", 0, (2150, 70, 2270, 90))
     assert sorted(got) == ["b1", "b1:1", "b2", "b3", "b3:1", "b3:2"] and got["b3:2"][:2] == ("z", 3)
     assert sorted(r["cell_ref"] for r in plans_corpus._first_cells(boxed).collect()) == ["b1", "b2", "b3"]
+
+
+def test_budget_chunks_query_cuts_and_refuses_at_the_default_budget(spark, tmp_path):
+    blocks = [("b1", "d", "s", 0, "word " * 700), ("b2", "d", "t", 1, "text")]
+    sections = [("s", "d", ["Guide"]), ("t", "d", ["long " * 400])]
+    at = F.lit("2025-01-01").cast("timestamp")
+    spark.createDataFrame(blocks, "block_id string, doc_id string, section_id string, ordinal bigint, text string").select("*", F.lit(0).alias("page_index"), F.lit("text").alias("kind"), F.lit("body").alias("content_layer"), F.lit("r").alias("native_ref"), F.lit("v").alias("parse_version"), F.lit(False).alias("reading_order_unresolved"), at.alias("ingested_at")).write.parquet(f"{tmp_path}/blocks.parquet")
+    spark.createDataFrame(sections, "section_id string, doc_id string, path array<string>").select("*", F.lit(None).cast("string").alias("parent_id"), F.lit("x").alias("title"), F.lit(1).alias("level"), F.lit(0).cast("bigint").alias("ordinal"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"), F.lit("k").alias("kind"), at.alias("written_at")).write.parquet(f"{tmp_path}/sections.parquet")
+    got = sorted((r["section_id"], r["piece"], r["tokens"]) for r in plans_documents.budget_chunks(spark, str(tmp_path)).collect())
+    assert [g[:2] for g in got] == [("s", 0), ("s", 1), ("t", -1)] and got[0][2] <= 384 and got[2][2] > 384
