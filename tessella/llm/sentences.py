@@ -5,9 +5,9 @@ Method: unsupervised statistics per language, by log-likelihood ratios, in the m
 * sentence starters: words that stand at the start of a text or behind a question or exclamation mark far more often
   than their frequency explains;
 * abbreviations: words before a full stop that is followed by what continues a sentence (a small letter, a number, a
-  comma, a capitalised word that is no starter) more often than full stops usually are;
-* collocations: words that follow a given abbreviation more often than they start sentences, and words that follow
-  numbers with a full stop and little else (ordinals of dates).
+  comma, a capitalised word that is no starter) more often than those are that follow the words that sentences of the language end with, by count;
+* collocations: starters that follow a given abbreviation more often than they start sentences, and words that follow
+  numbers with a full stop more often than they stand elsewhere (ordinals of dates).
 
 Each full stop is then classified from the word before it, the word behind it and these statistics. The original
 statistic for abbreviations compares a word's counts with and without a full stop; on manuals, where many words end
@@ -17,25 +17,28 @@ tested instead. Letters in one word with inner full stops and single letters cou
 Scripts that mark sentences otherwise: ideographic and Devanagari full stops end a sentence as they are; in Thai a
 blank between two Thai letters does. Nothing ends inside quotation marks, and a line break alone ends nothing.
 
-The counts are made over all records in one scan, without any shuffle of texts; what is kept is bounded at 1/share keys.
+The counts are made over all records, each once, and stay in tables; the ratios are computed there. What is significant at
+0.1 % after correction for the number of words tested in the language is kept, whatever its share of the corpus: a rare
+language finds its abbreviations as a frequent one does. Only these words come to the driver, and no more than MOST.
 """
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
+from statistics import NormalDist
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.common import blank
-from tessella.llm.counts import frequent, key_counts
+from tessella.common import blank, durable
+from tessella.llm.counts import key_counts
 from tessella.llm.visual import LOOKALIKES
 
 # Frequent function words that tell the languages of the Latin script apart.
@@ -59,7 +62,7 @@ _SCRIPT = [(k, regex.compile(f"(?:{p})+")) for k, p in _SCRIPTS]
 _FOREIGN = regex.compile("|".join(p for _, p in _SCRIPTS))
 _ROMAN = regex.compile(r"\p{Latin}+")
 _TO_MAP = regex.compile("[" + "".join(map(chr, _LATIN)) + "]")
-_WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_WORDS = regex.compile(r"[\p{L}\p{M}\p{N}--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]]+", regex.V1)  # runs of words without blanks are none
 _MARK = regex.compile(r"\.+|[!?؟。！？｡।॥۔…]+")
 _NUMBER = regex.compile(r"\p{N}+(?:[.,:/-]\p{N}+)*")
 _LABEL = regex.compile(r"\s*[-*•–]?\s*(?:(?i:step|schritt|étape|paso|шаг)\s+\p{N}+\s*[:.)]|[(\[]?\p{N}{1,3}[.)\]]|[(\[]?\p{L}[)\]]|\p{Ll}\.)\s+")
@@ -200,19 +203,17 @@ def _update(counter: Counter, rows: list) -> None:
             continue
         text, _ = readable(r["text"])
         lang = languages(text)[0]
-        if lang in ("zh", "th", "hi"):
-            continue
         start = _LABEL.match(text)
         first = _WORD_AT.match(text, start.end() if start else 0)
         counter.update(zip(repeat(lang), _WORDS.findall(text)))
-        if first and first[1]:
+        if first and first[1] and _WORDS.match(first[1]):
             counter[f"S\t{lang}\t{cased(first[1])}"] += 1
         for a, e, mark in _marks(text):
             k, j, nxt = _after(text, e)
             if j >= len(text) or mark[0] == "…" or mark.startswith(".."):
                 continue
             if mark[0] != ".":
-                if nxt:
+                if nxt and _WORDS.match(nxt):
                     counter[f"S\t{lang}\t{cased(nxt)}"] += 1
                 continue
             if j == k and text[j] not in ",;:":
@@ -227,51 +228,68 @@ def _spell(key: str | tuple[str, str]) -> str:
     return key if isinstance(key, str) else f"T\t{key[0]}\t{cased(key[1])}"
 
 
-def likelihood_ratio(k1: float, n1: float, k2: float, n2: float) -> float:
-    """Dunning's statistic for two binomial samples."""
-
-    def term(k: float, n: float, p: float) -> float:
-        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n > k else 0.0)
-
-    if not n1 or not n2:
-        return 0.0
-    p = (k1 + k2) / (n1 + n2)
-    return 2 * (term(k1, n1, k1 / n1) + term(k2, n2, k2 / n2) - term(k1, n1, p) - term(k2, n2, p)) if 0 < p < 1 else 0.0
-
-
-def learn(records: DataFrame, share: float = 2e-6, significant: float = 10.83, continues: float = 0.05) -> Model:
-    """records: kind, text. Counts of all records; the model holds what is significant at 0.1 %."""
-    counts = key_counts(records.select("kind", "text"), _update, _spell).cache()
-    total = counts.filter("key like 'T%'").agg(F.sum("n")).head()[0] or 0
-    sums = {(r["kind"], r["lang"]): r["n"] for r in counts.groupBy(F.substring("key", 1, 1).alias("kind"), F.split("key", "\t")[1].alias("lang")).agg(F.sum("n").alias("n")).collect()}
-    kept = [(r["key"].split("\t"), r["n"]) for r in frequent(counts, total, share).collect()]
-    counts.unpersist()
+def likelihood_ratio(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
+    """Dunning's statistic for two binomial samples, 0 where one of them is empty."""
+
+    def term(k: Column, n: Column, p: Column) -> Column:
+        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(n > k, (n - k) * F.log(1 - p)).otherwise(0.0)
+
+    p = (k1 + k2) / F.greatest(F.lit(1.0), n1 + n2)
+    p1, p2 = k1 / F.greatest(F.lit(1.0), n1), k2 / F.greatest(F.lit(1.0), n2)
+    return F.when((n1 > 0) & (n2 > 0) & (p > 0) & (p < 1), 2 * (term(k1, n1, p1) + term(k2, n2, p2) - term(k1, n1, p) - term(k2, n2, p))).otherwise(0.0)
+
+
+def significant(tests: int, level: float = 0.001) -> float:
+    """The chi-square value (one degree of freedom) beyond which one of so many tests is significant."""
+    return NormalDist().inv_cdf(1 - level / max(1, tests) / 2) ** 2
+
+
+#: Words and collocations that a model may hold (some 100 bytes each).
+MOST = 2_000_000
+
+
+def learn(records: DataFrame) -> Model:
+    """records: kind, text; each counts once."""
+    counts = key_counts(records.select("kind", "text"), _update, _spell)
+    parts = F.split("key", "\t")
+    counts = durable(counts.select(parts[0].alias("kind"), parts[1].alias("lang"), parts[2].alias("w"), F.get(parts, F.lit(3)).alias("x"), F.col("n").cast("double").alias("n")))
+    sums = counts.groupBy("lang").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0.0)).alias(f"all_{k}") for k in "TSA"), F.count_if(F.col("kind") == "S").alias("tests_S"), F.count_distinct(F.when(F.col("kind") == "A", F.col("w"))).alias("tests_A"), F.count_if(F.col("kind") == "A").alias("tests_C"))
+    rows = sums.collect()  # one a language of languages()
+    limits = {k: F.coalesce(F.element_at(F.create_map(*[x for r in rows for x in (F.lit(r["lang"]), F.lit(significant(r["tests_" + k])))]), F.col("lang")), F.lit(0.0)) for k in "SAC"} if rows else dict.fromkeys("SAC", F.lit(0.0))
+    of = F.broadcast(sums.select("lang", "all_T", "all_S"))  # one row a language
+
+    words = counts.filter("kind = 'T'").select("lang", F.col("w").alias("x"), F.col("n").alias("t"))
+    starts = counts.filter("kind = 'S'").select("lang", F.col("w").alias("x"), F.col("n").alias("s"))
+    begun = starts.join(words, ["lang", "x"], "left").join(of, "lang").withColumn("t", F.greatest("s", F.coalesce("t", F.lit(0.0))))
+    often = F.col("s") / F.col("all_S") > F.col("t") / F.greatest("t", "all_T")
+    starters = begun.filter(often & (likelihood_ratio(F.col("s"), F.col("all_S"), F.col("t") - F.col("s"), F.greatest(F.lit(1.0), F.col("all_T") - F.col("all_S"))) > limits["S"])).select("lang", "x", F.lit(True).alias("starter"))
+
+    behind = durable(counts.filter("kind = 'A'").select("lang", "w", "x", "n").join(starters, ["lang", "x"], "left").join(starts, ["lang", "x"], "left").join(words, ["lang", "x"], "left"))
+    goes_on = (F.col("x") == ",") | (F.substring("x", 2, 100) == "#") | F.col("starter").isNull()
+    stops = behind.groupBy("lang", "w").agg(F.sum("n").alias("n"), F.sum(F.when(goes_on, F.col("n")).otherwise(0.0)).alias("more"))
+    overall = F.broadcast(stops.groupBy("lang").agg((F.sum("more") / F.sum("n")).alias("rate")))  # one row a language, as below
+    plain = stops.join(overall, "lang").filter("more <= rate * n")  # words that sentences end with
+    rates = F.broadcast(plain.groupBy("lang").agg(F.sum("n").alias("all_n"), F.sum("more").alias("all_more")))
+    n, more, rest_n, rest_more = (F.col(c) for c in ("n", "more", "all_n", "all_more"))
+    found = (more >= 5) & (more * rest_n > 2 * rest_more * n) & (more > 0.1 * n) & (likelihood_ratio(more, n, rest_more, rest_n) > limits["A"])
+    short = stops.filter("w <> '#'").join(rates, "lang").filter(found).select("lang", "w", F.col("n").alias("of"))
+
+    s = F.coalesce(F.col("s"), F.lit(0.0))
+    after = behind.filter("starter and substring(x, 1, 1) = 'u'").join(short, ["lang", "w"]).join(of, "lang")
+    after = after.filter((n / F.col("of") > 5 * s / F.greatest(F.lit(1.0), F.col("all_S"))) & (likelihood_ratio(n, F.col("of"), s, F.greatest(F.lit(1.0), F.col("all_S"))) > limits["C"]))
+    dates = behind.filter("w = '#' and substring(x, 1, 1) = 'u' and starter is null").filter(n >= 0.5 * F.greatest(n, F.coalesce(F.col("t"), F.lit(0.0)))).select("lang", "w", "x")
+    kept = starters.select(F.lit("S").alias("kind"), "lang", F.lit("").alias("w"), "x").unionByName(short.select(F.lit("A").alias("kind"), "lang", "w", F.lit("").alias("x")))
+    kept = durable(kept.unionByName(after.select(F.lit("C").alias("kind"), "lang", "w", F.expr("substring(x, 2)").alias("x"))).unionByName(dates.select(F.lit("C").alias("kind"), "lang", "w", F.expr("substring(x, 2)").alias("x"))))
+    if (size := kept.count()) > MOST:
+        raise ValueError(f"{size} significant words are more than a worker is given")
     model = Model()
-    words: dict[tuple[str, str], int] = {(k[1], k[2]): n for k, n in kept if k[0] == "T"}
-    starts: dict[tuple[str, str], int] = {(k[1], k[2]): n for k, n in kept if k[0] == "S"}
-    for (lang, w), s in starts.items():
-        n_s, n_t = sums["S", lang], sums["T", lang]
-        t = max(words.get((lang, w), 0), s)
-        if s / n_s > t / n_t and likelihood_ratio(s, n_s, t - s, max(1, n_t - n_s)) > significant:
-            model.starters[lang].add(w)
-    behind: dict[tuple[str, str], dict[str, int]] = defaultdict(dict)
-    for k, n in kept:
-        if k[0] == "A":
-            behind[k[1], k[2]][k[3]] = n
-    for (lang, w), then in behind.items():
-        n = sum(then.values())
-        if w == "#":
-            for x, c in then.items():
-                if x[0] == "u" and x not in model.starters[lang] and c >= 0.5 * words.get((lang, x), c):
-                    model.collocations[lang].add(("#", x[1:]))
-            continue
-        more = sum(c for x, c in then.items() if x == "," or x[1:] == "#" or x not in model.starters[lang])
-        if more >= 5 and more > 2 * continues * n and likelihood_ratio(more, n, continues * 1e6, 1e6) > significant:
+    for kind, lang, w, x in kept.collect():
+        if kind == "S":
+            model.starters[lang].add(x)
+        elif kind == "A":
             model.abbreviations[lang].add(w)
-            for x, c in then.items():
-                s = starts.get((lang, x), 0)
-                if x[0] == "u" and c / n > 5 * s / max(1, sums.get(("S", lang), 1)) and likelihood_ratio(c, n, s, max(1, sums.get(("S", lang), 1))) > significant:
-                    model.collocations[lang].add((w, x[1:]))
+        else:
+            model.collocations[lang].add((w, x))
     return model
 
 
@@ -365,15 +383,16 @@ def sentence_spans(text: str | None, kind: str | None, model: Model) -> list[tup
     return out
 
 
-def sentence_units(records: DataFrame, share: float = 2e-6) -> DataFrame:
-    """(record_id, start_char, end_char): one row per sentence of every record (record_id, kind, text).
+def sentence_units(records: DataFrame) -> DataFrame:
+    """(record_id, start_char, end_char): one row per sentence of every record (record_id, kind, text and, where ids of several tables
+    may be the same, source).
 
-    Offsets are half-open code points of the record's own text. Rows of a repeated record_id count once; null ids and
-    null or blank texts give no row; a null kind is running text; further columns are ignored.
+    Offsets are half-open code points of the record's own text. Rows of a repeated record_id (of one source) count once, for the statistics
+    as well; null ids and null or blank texts give no row; a null kind is running text; further columns are ignored.
     """
-    rows = records.filter("record_id is not null").filter(~blank("text")).select("record_id", "kind", "text")
-    model = learn(rows, share)
-    shared = records.sparkSession.sparkContext.broadcast(model)
+    key = ["source", "record_id"] if "source" in records.columns else ["record_id"]
+    rows = records.filter("record_id is not null").filter(~blank("text")).select(*key, "kind", "text").dropDuplicates(key).persist(StorageLevel.DISK_ONLY)  # both scans read what is shuffled once
+    shared = records.sparkSession.sparkContext.broadcast(learn(rows))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -386,9 +405,10 @@ def sentence_units(records: DataFrame, share: float = 2e-6) -> DataFrame:
                     ends.append(e)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["record_id", "start_char", "end_char"])
 
-    return rows.dropDuplicates(["record_id"]).mapInArrow(batches, "record_id string, start_char int, end_char int")
+    return rows.select("record_id", "kind", "text").mapInArrow(batches, "record_id string, start_char int, end_char int")
 
 
 def block_and_unit_records(blocks: DataFrame, units: DataFrame) -> DataFrame:
     """The records of sentence_units: blocks by block_id and source units by source_unit_id."""
-    return blocks.select(F.col("block_id").alias("record_id"), "kind", "text").unionByName(units.select(F.col("source_unit_id").alias("record_id"), "kind", "text"))
+    of_blocks = blocks.select(F.lit("block").alias("source"), F.col("block_id").alias("record_id"), "kind", "text")
+    return of_blocks.unionByName(units.select(F.lit("unit").alias("source"), F.col("source_unit_id").alias("record_id"), "kind", "text"))

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from tessella.llm.sentences import Model, likelihood_ratio, languages, learn, quoted, sentence_spans, sentence_units
+from tessella.llm.sentences import Model, languages, learn, likelihood_ratio, quoted, sentence_spans, sentence_units, significant
 
 EN = ["The archive is rotated at midnight.", "Compare No. {n} vs. No. {n} in the list.", "Dr. Ulmbrecht of the bay (cf. p. {n}) signed the sheet.", "The kit holds cables, lugs, etc.", "Cables, clamps, etc. are packed apart.", "Wait until {n} p.m. before you open the lid.", "The display reads \"Ready. Press OK.\" before the lid opens.", "Use approx. {n}.3 bar for the valve.", "mqttd must be stopped first.", "Is the lamp warm?", "Roll back to version {n}.3.4.", "The limit is {n} mm e.g. at the edge.", "Stop the unit at once!", "Press the key for {n} seconds.", "(This is not so on old units.)"]
 DE = ["Am {n}. Mai wird das Gerät abgeschaltet.", "Zuerst wird z. B. die Lampe geprüft.", "Die Spannung fällt auf {n} Volt.", "Der Druck beträgt {n} bar, d. h. er ist zu hoch.", "Das Archiv wird um Mitternacht gewechselt.", "Die Anzeige meldet „Bereit. Taste drücken.“ und wartet."]
@@ -71,10 +71,30 @@ def test_cases(model):
 def test_parts():
     assert quoted('a "b. c" d „e“ «f «g» h»') == [(2, 7), (11, 13), (18, 20), (15, 23)] or len(quoted('a "b. c" d „e“')) == 2
     assert quoted('5" and 6" pipes') == [] and languages("Die Spannung fällt auf")[0] == "de" and languages("重新啟動 MQTT") == ("zh",)
-    assert likelihood_ratio(50, 100, 5, 1000) > 100 and likelihood_ratio(0, 0, 1, 2) == 0
+    assert 3.8 < significant(1, 0.05) < 3.9 and 10.8 < significant(1) < 10.9 < significant(1000)
     assert Model().of(("en",)) == (set(), set(), set())
 
 
+def test_likelihood_ratio(spark):
+    df = spark.createDataFrame([(50.0, 100.0, 5.0, 1000.0), (0.0, 0.0, 1.0, 2.0), (5.0, 10.0, 50.0, 100.0)], "a double, b double, c double, d double")
+    got = [r[0] for r in df.select(likelihood_ratio(*(df[c] for c in "abcd"))).collect()]
+    assert got[0] > 100 and got[1] == 0 and abs(got[2]) < 1e-9
+
+
+RU = ["Насос см. рис. 5 работает.", "Клапан см. табл. 7 закрыт.", "Насос включён.", "Клапан открыт.", "Не открывайте корпус."]
+
+
+def test_a_rare_language_finds_its_abbreviations(spark):
+    rng = random.Random(2)
+    rows = [("text", made(rng, "en", 6)[0]) for _ in range(20_000)] + [("text", " ".join(rng.sample(RU, 3))) for _ in range(24)]
+    assert {"см", "рис", "табл"} <= learn(spark.createDataFrame(rows, "kind string, text string")).abbreviations["ru"]
+
+
+def test_equal_ids_of_two_sources_are_two_records(spark):
+    df = spark.createDataFrame([("block", "a", "text", "One. Two."), ("unit", "a", "text", "Three."), ("unit", "a", "text", "Three.")], "source string, record_id string, kind string, text string")
+    assert sentence_units(df).count() == 3
+
+
 def test_operator(spark):
     rows = [("a", "text", "It runs. It stops."), ("a", "text", "It runs. It stops."), ("b", None, None), (None, "text", "x"), ("c", "text", " "), ("d", None, "One")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "record_id string, kind string, text string, start_char int")
