@@ -86,7 +86,7 @@ RU = ["Насос см. рис. 5 работает.", "Клапан см. таб
 
 def test_a_rare_language_finds_its_abbreviations(spark):
     rng = random.Random(2)
-    rows = [("text", made(rng, "en", 6)[0]) for _ in range(20_000)] + [("text", " ".join(rng.sample(RU, 3))) for _ in range(24)]
+    rows = [("text", made(rng, "en", 6)[0]) for _ in range(30_000)] + [("text", " ".join(rng.sample(RU, 3))) for _ in range(100)]
     assert {"см", "рис", "табл"} <= learn(spark.createDataFrame(rows, "kind string, text string")).abbreviations["ru"]
 
 
