@@ -1,4 +1,4 @@
-"""Corpus counts: keys counted in Python within each Arrow batch, summed by Spark, kept by their share of the whole."""
+"""Corpus counts: keys counted in Python within each Arrow batch, and summed by Spark."""
 
 from __future__ import annotations
 
@@ -36,8 +36,3 @@ def key_counts(df: DataFrame, update: Callable[[Counter, list], None], spell: Ca
 def _batch(counter: Counter, spell: Callable[[Any], str | None]) -> pa.RecordBatch:
     spelt = [(k, n) for k, n in ((spell(x), n) for x, n in counter.items()) if k is not None]
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in spelt], pa.string()), pa.array([n for _, n in spelt], pa.int64())], names=["key", "n"])
-
-
-def frequent(counts: DataFrame, total: int, share: float, least: int = 2) -> DataFrame:
-    """Keys that make up at least `share` of `total`, and `least` occurrences: at most 1/share rows, whatever the corpus."""
-    return counts.filter(F.col("n") >= max(least, share * total))

@@ -3,11 +3,12 @@
 Two models are trained here, both by counting in Spark:
 
 * Language: naive Bayes on character n-grams. It is fitted on a bounded sample of documents with a language label
-  (`per_language` documents a language, chosen by a hash of doc_id); labels are noisy, which naive Bayes averages out. The
-  posteriors of prompt and response are compared.
+  (`per_language` documents a language, chosen by a hash of doc_id), with all its n-grams; labels are noisy, which naive
+  Bayes averages out. The posteriors of prompt and response are compared.
 * End of text: n-gram likelihood that a sentence ends after its last words, backed off from three words to one. It is
-  counted over all responses, at every word of every sentence that is closed by a full stop, and kept for contexts that
-  make up at least `share` of all words, so what is broadcast has at most 1/share rows.
+  counted over all responses, at every word of every sentence that is closed by a full stop, and every context that
+  occurs twice is kept, in a table. Contexts that make up at least 1/`heavy` of all, which are at most `heavy` rows whatever
+  the log, are sent to the workers; responses whose last words hold another one are joined with the table.
 
 The first defect that applies is reported: empty, copy, refusal, language, truncated.
 """
@@ -26,8 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.common import latest
-from tessella.llm.counts import frequent, key_counts
+from tessella.common import durable, latest
+from tessella.llm.counts import key_counts
 
 # Texts that stand for no answer (compared without case and outer brackets).
 PLACEHOLDERS = {"n/a", "na", "n.a", "none", "null", "nil", "nan", "tbd", "todo", "empty", "undefined", "missing", "no answer", "blank", "keine", "k.a", "aucune", "aucun", "ninguno", "ninguna", "無", "无", "なし", "未定", "待定"}
@@ -140,15 +141,20 @@ def grams(w: str) -> list[str]:
     return [*w, *(e[i : i + n] for n in (2, 3) for i in range(len(e) - n + 1))]
 
 
-def language_model(documents: DataFrame, per_language: int = 2000, share: float = 2e-6) -> tuple[list[str], dict[str, np.ndarray]]:
+#: Labelled documents that a language needs.
+LEAST_LABELLED = 20
+
+
+def language_model(documents: DataFrame, per_language: int = 2000) -> tuple[list[str], dict[str, np.ndarray]]:
     """Languages and, for each n-gram, its log-probability in each of them.
 
-    documents: doc_id, lang, text. Labels are compared without case; a label under 0.5 % of the labelled documents is no
-    language. The sample of each language is bounded by `per_language` documents (in expectation).
+    documents: doc_id, lang, text. Labels are compared without case and region (en-US is en); a label of fewer than LEAST_LABELLED
+    documents is too little to fit a language on. The sample of each language is bounded by `per_language` documents (in expectation).
     """
-    labelled = documents.filter("text is not null and lang is not null").select("doc_id", F.lower(F.trim("lang")).alias("lang"), "text")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().filter("lang rlike '^[a-z]{2,3}$'").collect()}
-    langs = sorted(k for k, n in sizes.items() if n >= 0.005 * sum(sizes.values()))
+    label = F.lower(F.split(F.trim("lang"), "[-_]")[0])
+    labelled = documents.filter("text is not null and lang is not null").select("doc_id", label.alias("lang"), "text")
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().filter(f"lang rlike '^[a-z]{{2,3}}$' and count >= {LEAST_LABELLED}").collect()}
+    langs = sorted(sizes)
     if not langs:
         return [], {}
     rate = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))]), F.col("lang"))
@@ -167,10 +173,8 @@ def language_model(documents: DataFrame, per_language: int = 2000, share: float
                     counter[f"{lang}\t{g}"] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], names=["key", "n"])
 
-    counts = key_counts(sample, update, "\t".join).mapInArrow(apart, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")).cache()
-    total = counts.agg(F.sum("n")).head()[0] or 0
-    kept = frequent(counts, total, share).collect()
-    counts.unpersist()
+    counts = key_counts(sample, update, "\t".join).mapInArrow(apart, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    kept = counts.filter("n >= 2").collect()  # n-grams of a bounded sample
     at = {k: i for i, k in enumerate(langs)}
     table: dict[str, np.ndarray] = {}
     sums = np.zeros(len(langs))
@@ -249,29 +253,31 @@ def spell_context(key: str | tuple) -> str | None:
     return None if key[0] is None else key[0] + " ".join(key[1:])
 
 
-def end_model(texts: DataFrame, share: float = 1e-6) -> dict[str, tuple[int, int]]:
-    """context -> (ends, all) over every text of the single column of `texts`."""
-    counts = key_counts(texts, count_ends, spell_context).cache()
-    total = counts.filter("key = '#'").agg(F.sum("n")).head()[0] or 0
-    both = counts.filter("key <> '#'").groupBy(F.expr("substring(key, 2)").alias("key")).agg(F.sum(F.when(F.col("key").startswith("e"), F.col("n")).otherwise(0)).alias("ends"), F.sum("n").alias("n"))
-    out = {r["key"]: (r["ends"], r["n"]) for r in frequent(both, total, share).collect()}
-    counts.unpersist()
-    return out
+def end_model(texts: DataFrame) -> DataFrame:
+    """(key, ends, n): contexts that occur twice or more in the texts of the single column, and how often a sentence ends with them."""
+    counts = key_counts(texts, count_ends, spell_context).filter("key <> '#'")
+    both = counts.groupBy(F.expr("substring(key, 2)").alias("key")).agg(F.sum(F.when(F.col("key").startswith("e"), F.col("n")).otherwise(0)).alias("ends"), F.sum("n").alias("n"))
+    return both.filter("n >= 2")
+
 
+def last_contexts(w: list[str]) -> list[str | None]:
+    """The contexts that tell of the end of a text of words w: its last word, two and three words, and, if it is short, its whole."""
+    return [" ".join(w[-n:]) if len(w) >= n else None for n in (1, 2, 3)] + ["^ " + " ".join(w) if len(w) <= SHORT else None]
 
-def end_likelihood(w: list[str], model: dict[str, tuple[int, int]], weight: float = 3.0) -> tuple[float, int]:
-    """Probability that a sentence ends after the words w, and how often the longest known context was seen."""
+
+def end_likelihood(found: list[tuple[int, int]], weight: float = 3.0) -> tuple[float, int]:
+    """Probability that a sentence ends after words whose contexts were found so often (ends, all), from one word to three, and how often
+    the longest known context was seen."""
     p, seen = 0.1, 0
-    for n in (1, 2, 3):
-        if len(w) >= n:
-            ends, n_all = model.get(" ".join(w[-n:]), (0, 0))
-            p = (ends + weight * p) / (n_all + weight)
-            seen = n_all if n_all else seen
+    for ends, n_all in found:
+        p = (ends + weight * p) / (n_all + weight)
+        seen = n_all if n_all else seen
     return p, seen
 
 
-def is_truncated(answer: str, model: dict[str, tuple[int, int]], open_end: float = 0.05, closed_end: float = 0.005) -> bool:
-    """Breaks off before its sentence, list or code is complete."""
+def ending(answer: str) -> bool | tuple[list[str | None], bool, bool, bool]:
+    """Whether the form of an answer tells that it breaks off, or that it does not; or else the contexts of its last words, whether it is
+    closed, whether by a full stop behind more than three words, and whether it is as brief as a name or number."""
     text = unicodedata.normalize("NFKC", answer).strip()
     if text.count("```") % 2:
         return True
@@ -294,18 +300,34 @@ def is_truncated(answer: str, model: dict[str, tuple[int, int]], open_end: float
     if not closed and (text[-1] in "([{（「『“„«,，、;；:：>/&+=–—-" or body[-1:] in "([{（「『“„«"):
         return True
     whole = sum(any(c.isalnum() for c in x) for x in w)
-    p, seen = end_likelihood(w, model)
+    full = text.endswith(".") and whole > 3
+    if closed and not full:
+        return False
+    return last_contexts(w), closed, full, whole <= 4 and len(text) <= 24 and "\n" not in text
+
+
+def breaks_off(found: list[tuple[int, int] | None], closed: bool, brief: bool, open_end: float = 0.05, closed_end: float = 0.005) -> bool:
+    """found: (ends, all) of each of last_contexts(), (0, 0) where it is not known, None where there is none."""
+    p, seen = end_likelihood([x for x in found[:3] if x])
     if closed:
-        return text.endswith(".") and seen >= 20 and p < closed_end and whole > 3
-    if len(w) <= SHORT:
-        ends, n = model.get("^ " + " ".join(w), (0, 0))
-        if n >= 5:
-            return ends < 0.3 * n and p < open_end
-    if whole <= 4 and len(text) <= 24 and "\n" not in text:
-        return seen >= 20 and p < closed_end and model.get(w[-1], (0, 0))[0] == 0
+        return seen >= 20 and p < closed_end
+    if found[3] and found[3][1] >= 5:
+        ends, n = found[3]
+        return ends < 0.3 * n and p < open_end
+    if brief:
+        return seen >= 20 and p < closed_end and found[0][0] == 0
     return p < open_end if seen else True
 
 
+def is_truncated(answer: str, model: dict[str, tuple[int, int]]) -> bool:
+    """Breaks off before its sentence, list or code is complete, by a whole model."""
+    end = ending(answer)
+    if isinstance(end, bool):
+        return end
+    contexts, closed, _, brief = end
+    return breaks_off([None if c is None else model.get(c, (0, 0)) for c in contexts], closed, brief)
+
+
 def asks_for(question: str, lang: str) -> bool:
     names = LANGUAGES.get(lang)
     return bool(names) and regex.search(rf"(?<!\p{{L}})(?:{names})(?!\p{{L}})" if names.isascii() else names, question.casefold()) is not None
@@ -331,22 +353,29 @@ def history_pairs(requests: DataFrame, traces: DataFrame) -> DataFrame:
     return items.unionByName(once.join(answers, "request_id").select("request_id", F.lit(-1).alias("item_index"), F.col("question").alias("q"), F.col("generated_answer").alias("a")))
 
 
-def find_defects(pairs: DataFrame, documents: DataFrame, per_language: int = 2000, share: float = 1e-6) -> DataFrame:
+JUDGED = "request_id string, item_index int, defect string, closed boolean, brief boolean, contexts array<struct<place:int,key:string,ends:bigint,n:bigint>>"
+
+
+def find_defects(pairs: DataFrame, documents: DataFrame, per_language: int = 2000, heavy: int = 100_000) -> DataFrame:
     """(request_id, item_index, defect): the first defect of each defective pair (request_id, item_index, q, a).
 
     A null question can only have an empty, refusing or truncated answer. An empty table gives an empty result.
     """
     pairs = pairs.select("request_id", F.col("item_index").cast("int").alias("item_index"), "q", "a")
     langs, table = language_model(documents, per_language)
-    ends = end_model(pairs.select("a"), share)
-    shared = pairs.sparkSession.sparkContext.broadcast((langs, table, ends))
+    ends = durable(end_model(pairs.select("a")))
+    total = ends.agg(F.sum("n")).head()[0] or 0
+    most = F.col("n") * heavy >= total
+    sent = {r["key"]: (r["ends"], r["n"]) for r in ends.filter(most).collect()}  # at most `heavy` rows
+    shared = pairs.sparkSession.sparkContext.broadcast((langs, table, sent))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, table, ends = shared.value
+        langs, table, sent = shared.value
         for b in it:
             rows = []
             for r in b.to_pylist():
                 q, a = r["q"], r["a"]
+                closed = brief = contexts = None
                 if is_empty(a):
                     d = "empty"
                 elif q and is_copy(q, a):
@@ -355,12 +384,46 @@ def find_defects(pairs: DataFrame, documents: DataFrame, per_language: int = 200
                     d = "refusal"
                 elif q and is_foreign(q, a, langs, table):
                     d = "language"
-                elif is_truncated(a, ends):
-                    d = "truncated"
                 else:
-                    continue
-                rows.append((r["request_id"], r["item_index"], d))
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()), strict=True)], names=["request_id", "item_index", "defect"])
+                    end = ending(a)
+                    if isinstance(end, bool):
+                        d = "truncated" if end else None
+                    else:
+                        keys, closed, _, brief = end
+                        found = [None if k is None else sent.get(k) for k in keys]
+                        if all(k is None or x for k, x in zip(keys, found, strict=True)):
+                            d = "truncated" if breaks_off(found, closed, brief) else None
+                        else:
+                            d = None
+                            contexts = [{"place": i, "key": None if x else k, "ends": x and x[0], "n": x and x[1]} for i, (k, x) in enumerate(zip(keys, found, strict=True)) if k is not None]
+                if d or contexts:
+                    rows.append({"request_id": r["request_id"], "item_index": r["item_index"], "defect": d, "closed": closed, "brief": brief, "contexts": contexts})
+            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+
+    judged = durable(pairs.mapInArrow(batches, JUDGED))
+    asked = judged.filter("defect is null")
+    of = ["request_id", "item_index"]
+    every = asked.select(*of, "closed", "brief", F.explode("contexts").alias("_c")).select(*of, "closed", "brief", "_c.*")
+    joined = every.filter("key is not null").drop("ends", "n").join(ends.filter(~most), "key", "left").select(*every.columns)
+    parts = every.filter("key is null").unionByName(joined).groupBy(*of).agg(F.first("closed").alias("closed"), F.first("brief").alias("brief"), F.collect_list(F.struct("place", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("n", F.lit(0)).alias("n"))).alias("contexts"))  # at most four a response
+
+    def decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = []
+            for r in b.to_pylist():
+                found: list = [None] * 4
+                for c in r["contexts"]:
+                    found[c["place"]] = c["ends"], c["n"]
+                if breaks_off(found, r["closed"], r["brief"]):
+                    rows.append({"request_id": r["request_id"], "item_index": r["item_index"], "defect": "truncated"})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(_SCHEMA)[:3]))
+
+    return judged.filter("defect is not null").select(*of, "defect").unionByName(parts.mapInArrow(decide, "request_id string, item_index int, defect string"))
 
-    return pairs.mapInArrow(batches, "request_id string, item_index int, defect string")
+
+_SCHEMA = pa.schema(
+    [
+        ("request_id", pa.string()), ("item_index", pa.int32()), ("defect", pa.string()), ("closed", pa.bool_()), ("brief", pa.bool_()),
+        ("contexts", pa.list_(pa.struct([("place", pa.int32()), ("key", pa.string()), ("ends", pa.int64()), ("n", pa.int64())]))),
+    ]
+)

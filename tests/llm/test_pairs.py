@@ -67,4 +67,5 @@ def test_found(spark):
     assert pairs.filter("request_id = 'r'").count() == 9 and pairs.filter("request_id = 'n'").count() == 1
     got = sorted(tuple(x) for x in find_defects(pairs.selectExpr("*", "'x' as defect"), documents).collect())
     assert got == [("n", -1, "language"), ("r", -1, "empty"), ("r", 0, "empty"), ("r", 1, "copy"), ("r", 2, "refusal"), ("r", 3, "language"), ("r", 4, "truncated")]
+    assert got == sorted(tuple(x) for x in find_defects(pairs, documents, heavy=10).collect())  # contexts that are joined tell the same as those that are sent
     assert find_defects(pairs.filter("false"), documents.filter("false")).count() == 0
