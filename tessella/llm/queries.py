@@ -45,6 +45,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.look_pairs(visual.block_and_request_records(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "qa_requests")))
 
 
+def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct text of blocks and requests: its class, its copies, and how many distinct texts read the same."""
+    keyed = visual.same_look(visual.block_and_request_records(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "qa_requests")))
+    return visual.look_texts(keyed).select("kind", F.hex("class_key").alias("class_key"), F.hex("text_key").alias("text_key"), "copies", "texts")
+
+
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every non-blank block and request with its text in the consistent form."""
     records = visual.block_and_request_records(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "qa_requests"))
@@ -82,7 +88,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filler.find_filler(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_places": p7_places, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_forms": p5_forms, "p5_texts": p5_texts, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_places": p7_places, "p8_found": p8_found, "p8_scores": p8_scores}
 SQL = {
     "p1_found": f"""WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) AS k FROM chunks) WHERE k = 1),
 s AS (SELECT section_id, array_to_string(path, ' > ') AS p FROM (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY written_at DESC) AS k FROM sections) WHERE k = 1)

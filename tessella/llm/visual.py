@@ -23,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.common import blank
+from tessella.common import blank, durable
 
 # Letters of other scripts that look like a Latin letter, with that letter.
 LOOKALIKES = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ԍ": "G",
     "а": "a", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "о": "o", "р": "p", "ѕ": "s", "х": "x", "у": "y", "ԛ": "q", "ԝ": "w", "ԁ": "d", "ѵ": "v", "Ӏ": "I", "ӏ": "l", "ү": "y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "ο": "o", "ν": "v", "ι": "ı", "ϲ": "c", "ϳ": "j",
+    "ο": "o", "ν": "v", "ι": "ı", "ϲ": "c", "ϳ": "j", "α": "a", "ρ": "p",
+    "ɑ": "a", "ɡ": "g", "ɩ": "ı", "ʋ": "v", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲏ": "H", "Ⲙ": "M", "Ⲛ": "N", "Ⲧ": "T", "Ⲕ": "K", "Ⲉ": "E",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "ք": "f", "Տ": "S", "Օ": "O", "Լ": "L",
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮢ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
 }
@@ -39,7 +41,7 @@ HYPHENS = "‐‑﹣－"
 # Characters without any visible form (ranges).
 INVISIBLE = ((0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF9, 0xFFFB), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF))
 # Blocks whose <compat> decompositions only join letters or repeat an ideograph, so both look the same.
-JOINED = ((0x0132, 0x0133), (0x01C7, 0x01CC), (0x01F1, 0x01F3), (0x2E80, 0x2FDF), (0xFB00, 0xFB17), (0x0587, 0x0587), (0x0675, 0x0678), (0x0EDC, 0x0EDD))
+JOINED = ((0x0132, 0x0133), (0x01C7, 0x01CC), (0x01F1, 0x01F3), (0x2E80, 0x2FDF), (0xFB00, 0xFB17), (0x0587, 0x0587), (0x0675, 0x0678), (0x0EDC, 0x0EDD), (0x2160, 0x217F))
 # Kinds of decomposition that change width, joining or line breaking, but not what is read.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>", "<vertical>", "<small>")
 
@@ -183,27 +185,42 @@ def same_look(records: DataFrame) -> DataFrame:
 
     records: kind, id, text. Returns kind, id, text_key (a hash of the raw text), class_key (a hash of the
     consistent form). Rows of a repeated (kind, id) count once; null ids and blank texts (also such as hold only invisible
-    characters) are left out. Keys are 256-bit hashes, so that only 32 bytes a row are shuffled, not the texts.
+    characters) are left out. Keys are 128-bit hashes, so that only 16 bytes a row are shuffled, not the texts.
     """
     form = canonical(records.filter("id is not null").filter(~blank("text")).select("kind", "id", "text"), "text", "form")
     form = form.filter(~blank("form"))
-    keyed = form.select("kind", "id", F.unhex(F.sha2("text", 256)).alias("text_key"), F.unhex(F.sha2("form", 256)).alias("class_key"))
+    keyed = form.select("kind", "id", F.unhex(F.md5("text")).alias("text_key"), F.unhex(F.md5("form")).alias("class_key"))
     return keyed.groupBy("kind", "id").agg(F.min(F.struct("text_key", "class_key")).alias("_k")).select("kind", "id", "_k.*")
 
 
+def look_texts(keyed: DataFrame) -> DataFrame:
+    """(kind, class_key, text_key, copies, texts) of same_look(): every distinct text with the number of its copies and that of the
+    distinct texts that read the same, itself included. Copies are added up on the map side, so a hot text is one row a task."""
+    texts = keyed.groupBy("kind", "class_key", "text_key").agg(F.count("*").alias("copies"))
+    return texts.join(texts.groupBy("kind", "class_key").agg(F.count("*").alias("texts")), ["kind", "class_key"])
+
+
+#: Copies of a text that one row of the pair join stands for.
+SHARE = 4096
+
+
 def look_pairs(records: DataFrame) -> DataFrame:
     """(left_id, right_id): pairs of one kind whose texts differ in code points but read the same; the smaller id first.
 
-    Classes of a single raw text are dropped by an aggregate that is combined on the map side before anything is
-    joined, so a hot text with many exact copies costs nothing unless it has a twin. What remains is joined on the class and
-    the raw text's hash must differ; pairs of exact copies never arise.
+    This is a view of the classes: links are made between distinct texts of a class, by the texts' rows alone, and each link
+    is then written out over the copies of both texts. A text without a twin leaves before that, pairs of exact copies never
+    arise, and the copies of a hot text are joined in shares of SHARE, each by itself.
     """
-    keyed = same_look(records)
-    mixed = keyed.groupBy("kind", "class_key").agg(F.min("text_key").alias("_a"), F.max("text_key").alias("_b")).filter("_a <> _b").select("kind", "class_key")
-    twins = keyed.join(mixed, ["kind", "class_key"], "left_semi")
-    right = twins.select("kind", "class_key", F.col("id").alias("right_id"), F.col("text_key").alias("_other"))
-    pairs = twins.join(right, ["kind", "class_key"]).filter("text_key <> _other and id < right_id")
-    return pairs.select(F.col("id").alias("left_id"), "right_id")
+    keyed = durable(same_look(records))
+    texts = durable(look_texts(keyed).filter("texts > 1").withColumn("shares", F.ceil(F.col("copies") / SHARE).cast("int")))
+    other = texts.select("kind", "class_key", F.col("text_key").alias("right_text"))
+    links = texts.select("kind", "class_key", F.col("text_key").alias("left_text"), "shares").join(other, ["kind", "class_key"]).filter("left_text < right_text")
+    links = links.select("kind", "left_text", "right_text", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    members = keyed.drop("class_key").join(texts.select("kind", "text_key", "shares"), ["kind", "text_key"])
+    left = members.select("kind", F.col("text_key").alias("left_text"), F.col("id").alias("_a"), F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"))
+    right = members.select("kind", F.col("text_key").alias("right_text"), F.col("id").alias("_b"))
+    pairs = links.join(left, ["kind", "left_text", "share"]).join(right, ["kind", "right_text"])
+    return pairs.select(F.least("_a", "_b").alias("left_id"), F.greatest("_a", "_b").alias("right_id"))
 
 
 def block_and_request_records(blocks: DataFrame, requests: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import unicodedata
 
 import pyarrow as pa
 
-from tessella.llm.visual import LOOKALIKES, canonical, canonical_texts, look_pairs, same_look
+from tessella.llm.visual import LOOKALIKES, canonical, canonical_texts, look_pairs, look_texts, same_look
 
 
 def form(*texts):
@@ -53,7 +53,25 @@ def test_pairs(spark):
     assert look_pairs(df.filter("false")).count() == 0 and same_look(df).filter("id = 'b3'").count() == 1
 
 
+def test_copies_of_a_hot_text(spark, monkeypatch):
+    monkeypatch.setattr("tessella.llm.visual.SHARE", 3)
+    rows = [("block", f"a{i:02}", "Kit é") for i in range(10)] + [("block", f"b{i:02}", "Кit é") for i in range(7)] + [("block", "c", "Kit é"), ("block", "d", "other")]
+    df = spark.createDataFrame(rows, "kind string, id string, text string")
+    got = [tuple(r) for r in look_pairs(df).collect()]
+    same = {i: t for _, i, t in rows}
+    want = {(a, b) for a in same for b in same if a < b and same[a] != same[b] and "d" not in (a, b)}
+    assert set(got) == want and len(got) == len(want)
+    texts = {(r["copies"], r["texts"]) for r in look_texts(same_look(df)).collect()}
+    assert texts == {(10, 3), (7, 3), (1, 3), (1, 1)} or texts == {(11, 2), (7, 2), (1, 1)}
+
+
 def test_columns_are_kept(spark):
     df = spark.createDataFrame([(1, "ａ", "old"), (2, None, "old")], "id int, text string, canonical_text string")
     assert [tuple(r) for r in canonical(df, "text").orderBy("id").collect()] == [(1, "ａ", "a"), (2, None, None)]
     assert canonical(df, "text", "text").columns == ["id", "canonical_text", "text"]
+
+
+def test_letters_of_other_scripts_and_numerals():
+    for a, b in [("ρlαn", "plan"), ("ɡɑs", "gas"), ("Ⅳ ⅻ ⅼ", "IV xii l"), ("ꓐⲟ", "Bo")]:
+        x, y = form(a, b)
+        assert x == y, (a, b)
