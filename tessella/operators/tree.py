@@ -1,23 +1,28 @@
 """Parent-child rows to full hierarchies.
 
-Three steps, each in a logarithmic number of rounds, whatever the depth:
-
-1. Leaf peeling, 2**k layers at a time. A node survives j layers of leaf peeling exactly if it is the j-th ancestor
-   of some node, that is, if it is in the image of the j-fold parent map. That map is squared in each round (pointer
-   doubling), so round k peels 2**k layers. What survives for ever are the nodes on cycles; what never reaches a
-   root but is peeled hangs below a cycle.
-2. Euler tour of the remaining forest. Each node has an arc down into it and an arc up out of it; the successor of
-   an arc follows from its first child or next sibling. Hot parents are handled by salting: siblings are ordered
-   within one of `buckets` hash buckets and the buckets are chained, so no task sorts all children of one parent.
-3. Parallel list ranking of the arcs by pointer doubling. Ranks give each node's entry and exit in the tour of its
-   tree: u is an ancestor of v exactly if they share the root and entry(u) < entry(v) < exit(u).
-
-Rounds are cut with reliable checkpoints. Finished rows leave the joins, so their null pointers never gather in one
-partition. Only counts come to the driver.
+1. Euler tours. Each node has an arc down into it and an arc up out of it; the successor of an arc follows from its first
+   child or next sibling. Hot parents are handled by salting: siblings are ordered within one of `buckets` hash buckets
+   and the buckets are chained, so no task sorts all children of one parent.
+2. Parallel list ranking of the arcs by pointer doubling, with the sum of arcs up less arcs down. The tour of a tree ends with its
+   root's arc up; that of a component with a cycle closes on itself and never ends, which tells them apart. What is left is
+   peeled: a node survives j layers of leaf peeling exactly if it is in the image of the j-fold parent map, which is squared
+   in each round, so round k peels 2**k layers. What survives are the nodes on cycles, the rest hangs below them.
+3. The ranks give each node's root, depth, entry and exit: u is an ancestor of v exactly if they share the root and
+   entry(u) < entry(v) < exit(u). In the order of root and entry, a node's ancestors are the intervals that are open at
+   it. One scan in that order, which begins in every partition with the intervals that are open there, gives paths, ancestors and what is
+   known of the root; so even a single tree is spread over many tasks and nothing is joined on a root.
+
+Rounds are in number logarithmic in the size of the largest tree, and cut with reliable checkpoints. Finished rows leave the joins
+as the moving side, so their null pointers never gather in one partition.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -88,14 +93,82 @@ def _arcs(forest: DataFrame, buckets: int) -> DataFrame:
     return into.unionByName(out).unionByName(roots)
 
 
-def list_rank(arcs: DataFrame) -> DataFrame:
-    """Number of elements from each element to the end of its linked list, itself included. arcs: arc, next."""
-    state = durable(arcs.select("arc", "next", F.lit(1).cast("long").alias("rank")))
-    while not state.filter("next is not null").isEmpty():
-        then = state.select(F.col("arc").alias("_arc"), F.col("next").alias("_next"), F.col("rank").alias("_rank"))
-        moved = state.filter("next is not null").join(then, F.col("next") == F.col("_arc")).select("arc", F.col("_next").alias("next"), (F.col("rank") + F.col("_rank")).alias("rank"))
+def list_rank(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(arc, rank, height, last) of the arcs of lists that end: the number of elements to the end, itself included, the arcs up less the
+    arcs down among them, and the last element; and (arc) of those on closed lists. arcs: arc, next."""
+    state = durable(arcs.select("arc", "next", F.lit(1).cast("long").alias("rank"), F.when(F.col("arc") % 2 == 1, 1).otherwise(-1).cast("long").alias("height"), F.col("arc").alias("last")))
+    before = -1
+    while (going := state.filter("next is not null").count()) not in (0, before):  # a round that ends no arc leaves closed lists only
+        before = going
+        then = state.select(*(F.col(c).alias("_" + c) for c in state.columns))
+        moved = state.filter("next is not null").join(then, F.col("next") == F.col("_arc"))
+        moved = moved.select("arc", F.col("_next").alias("next"), (F.col("rank") + F.col("_rank")).alias("rank"), (F.col("height") + F.col("_height")).alias("height"), F.col("_last").alias("last"))
         state = durable(state.filter("next is null").unionByName(moved))
-    return state.select("arc", "rank")
+    return state.filter("next is null").drop("next"), state.filter("next is not null").select("arc")
+
+
+#: What the scan knows of a tree: root, the length of its tour, its root's row; and the open intervals from some depth on.
+Open = tuple[Any, int, dict | None, int, list]
+
+
+def _follow(rows: Iterator[dict], state: Open, value: str) -> Iterator[tuple[dict, Open]]:
+    """Each row, in the order of root and entry, with the intervals that are open at it, its own included."""
+    root, length, head, base, stack = state
+    for r in rows:
+        if r["root"] != root:
+            root, length, head, base, stack = r["root"], r["down"], r, r["depth"], []
+            if r["depth"]:  # a partition that begins inside a tree and is given nothing
+                length, head = 0, None
+        if r["depth"] < base:
+            base = r["depth"]
+        del stack[r["depth"] - base :]
+        stack.append(r[value])
+        yield r, (root, length, head, base, stack)
+
+
+def scan_tours(nodes: DataFrame, value: str, schema: str, use: Callable[[dict, int, dict, list], tuple]) -> DataFrame:
+    """`use(row, length of the tour, root's row, [value of each ancestor and of itself])` for every row, as a table of the given schema.
+
+    nodes: root, down and up (places from the end of the tour), depth, value and further columns. Of each partition only what is open at
+    its end, a value for each level, comes to the driver and goes to the partitions behind it.
+    """
+    ordered = durable(nodes.repartitionByRange(F.col("root"), F.desc("down")).sortWithinPartitions(F.col("root"), F.desc("down")).withColumn("_p", F.spark_partition_id()))
+
+    def ends(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, p = (None, 0, None, 0, []), None
+        for b in it:
+            for r, state in _follow(iter(b.to_pylist()), state, value):
+                p = r["_p"]
+        if p is not None:
+            yield pa.RecordBatch.from_pylist([{"p": p, "state": pickle.dumps(state)}], schema=pa.schema([("p", pa.int32()), ("state", pa.binary())]))
+
+    begins: dict[int, Open] = {}
+    now: Open = (None, 0, None, 0, [])
+    for p, state in sorted(tuple(r) for r in ordered.mapInArrow(ends, "p int, state binary").collect()):
+        begins[p] = now
+        root, length, head, base, stack = pickle.loads(state)
+        now = (root, length, head, 0, stack) if head else (root, now[1], now[2], 0, now[4][:base] + stack)
+    shared = nodes.sparkSession.sparkContext.broadcast(begins)
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for b in it:
+            rows = b.to_pylist()
+            if state is None and rows:
+                root, length, head, base, stack = shared.value[rows[0]["_p"]]
+                state = root, length, head, base, list(stack)
+            out = []
+            for r, state in _follow(iter(rows), state, value):
+                out.append(use(r, state[1], state[2], list(state[4])))
+            kinds = {"bigint": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, schema.split(", "), strict=True)], names=names)
+
+    return ordered.mapInArrow(batches, schema)
+
+
+PLACED = "section_id string, doc_id string, parent_id string, root_id string, depth bigint, path array<string>, entry bigint, exit bigint, root_doc string, root_parent string"
 
 
 def section_trees(sections: DataFrame, buckets: int = 32) -> DataFrame:
@@ -112,29 +185,27 @@ def section_trees(sections: DataFrame, buckets: int = 32) -> DataFrame:
     # numbers in the order of section_id stand for the nodes in all rounds; the smallest number of a cycle is its smallest id
     rows = durable(dense_ordinals(valid.withColumnRenamed("ordinal", "_place"), "section_id").withColumnRenamed("ordinal", "id"))
     known = rows.select(F.col("section_id").alias("parent_id"), F.col("id").alias("parent"))
-    nodes = durable(rows.join(known, "parent_id", "left").select("id", "parent", "title", F.col("_place").alias("ordinal")))
-    tops, lost = _ancestry(nodes.select("id", "parent", "title"))
-    forest = nodes.join(tops.select("id"), "id", "left_semi").select("id", "parent", "ordinal")
-    ranks = list_rank(_arcs(forest, buckets)).select(F.floor(F.col("arc") / 2).alias("id"), (F.col("arc") % 2).alias("_way"), "rank")
-    entry = ranks.filter("_way = 0").select("id", F.col("rank").alias("_in"))
-    exit_ = ranks.filter("_way = 1").select("id", F.col("rank").alias("_out"))
-    placed = tops.select("id", "root", "depth", "titles").join(entry, "id").join(exit_, "id")
-    length = entry.select(F.col("id").alias("root"), F.col("_in").alias("_length"))
-    placed = placed.join(length, "root").select("id", "root", "depth", F.col("titles").alias("_path"), (F.col("_length") - F.col("_in")).alias("entry"), (F.col("_length") - F.col("_out")).alias("exit"))
-    head = rows.select(F.col("id").alias("root"), F.col("section_id").alias("_root_id"), F.col("doc_id").alias("_root_doc"), F.col("parent_id").alias("_root_parent"))
-    name = rows.select(F.col("id").alias("anchor"), F.col("section_id").alias("_anchor_id"))
-    loops = _cycles(lost).join(name, "anchor").select("id", F.col("fault").alias("_loop"), "_anchor_id")
-    parents = rows.select(F.col("id").alias("parent"), F.col("section_id").alias("_parent_id"))
-    out = rows.select("id", "section_id", "doc_id", "path").join(nodes.select("id", "parent"), "id").join(parents, "parent", "left").join(placed, "id", "left").join(head, "root", "left").join(loops, "id", "left")
-    fault = (
-        F.when(F.col("_loop").isNotNull(), F.col("_loop"))
-        .when(F.col("_root_parent").isNotNull(), F.lit("missing_parent"))
-        .when(~F.col("_root_doc").eqNullSafe(F.col("doc_id")), F.lit("foreign_root"))
-        .when(~F.col("path").eqNullSafe(F.col("_path")), F.lit("stale_path"))
-    )
-    out = out.withColumn("fault", fault)
-    anchor = F.when(F.col("_loop").isNotNull(), F.col("_anchor_id")).when(F.col("fault") == "missing_parent", F.col("_root_parent")).when(F.col("fault").isNotNull(), F.col("_root_id"))
-    return out.select("section_id", "doc_id", F.col("_parent_id").alias("parent_id"), F.col("_root_id").alias("root_id"), "depth", F.col("_path").alias("path"), "entry", "exit", ((F.col("exit") - F.col("entry") - 1) / 2).cast("long").alias("descendants"), "fault", anchor.alias("anchor_id"))
+    nodes = durable(rows.select("id", "parent_id", F.col("_place").alias("ordinal")).join(known, "parent_id", "left").select("id", "parent", "ordinal"))
+    ended, closed = list_rank(_arcs(nodes, buckets))
+    way = F.col("arc") % 2
+    places = ended.groupBy(F.floor(F.col("arc") / 2).alias("id")).agg(F.max(F.when(way == 0, F.col("rank"))).alias("down"), F.max(F.when(way == 1, F.col("rank"))).alias("up"), F.max(F.when(way == 0, F.col("height"))).alias("depth"), F.max(F.floor(F.col("last") / 2)).alias("root"))
+    own = rows.select("id", "section_id", "doc_id", "parent_id", "title", "path")
+    everywhere = own.withColumnRenamed("path", "_stored").join(places, "id")
+
+    def place(r: dict, length: int, head: dict, path: list) -> tuple:
+        parent = r["parent_id"] if r["depth"] else None
+        return r["section_id"], r["doc_id"], parent, head["section_id"], r["depth"], path, length - r["down"], length - r["up"], head["doc_id"], head["parent_id"], r["_stored"]
+
+    placed = scan_tours(everywhere, "title", PLACED + ", stored array<string>", place)
+    fault = F.when(F.col("root_parent").isNotNull(), F.lit("missing_parent")).when(~F.col("root_doc").eqNullSafe(F.col("doc_id")), F.lit("foreign_root")).when(~F.col("stored").eqNullSafe(F.col("path")), F.lit("stale_path"))
+    placed = placed.withColumn("fault", fault).withColumn("anchor_id", F.when(F.col("fault") == "missing_parent", F.col("root_parent")).when(F.col("fault").isNotNull(), F.col("root_id")))
+    placed = placed.select("section_id", "doc_id", "parent_id", "root_id", "depth", "path", "entry", "exit", ((F.col("exit") - F.col("entry") - 1) / 2).cast("long").alias("descendants"), "fault", "anchor_id")
+
+    lost = nodes.join(closed.filter(way == 0).select(F.floor(F.col("arc") / 2).alias("id")), "id").select("id", F.col("parent").alias("jump"), F.col("id").alias("least"))
+    name = rows.select(F.col("id").alias("anchor"), F.col("section_id").alias("anchor_id"))
+    loops = _cycles(lost).join(name, "anchor").join(own, "id")
+    empty = {"root_id": "string", "depth": "bigint", "path": "array<string>", "entry": "bigint", "exit": "bigint", "descendants": "bigint"}
+    return placed.unionByName(loops.select("section_id", "doc_id", "parent_id", *(F.lit(None).cast(t).alias(c) for c, t in empty.items()), "fault", "anchor_id"))
 
 
 def faulty_sections(sections: DataFrame) -> DataFrame:
@@ -144,15 +215,7 @@ def faulty_sections(sections: DataFrame) -> DataFrame:
 
 def descendant_pairs(trees: DataFrame) -> DataFrame:
     """(section_id, descendant_id) for every ancestor and descendant of the sound forest; the result has as many rows as the
-    sum of all depths. It follows the parents' chains by joins on equal keys, doubling the distance in each round:
-    pairs at distances up to 2**k, joined with pairs at distance exactly 2**k, give those up to 2**(k+1)."""
-    near = durable(trees.filter("root_id is not null and depth > 0").select(F.col("section_id").alias("descendant_id"), F.col("parent_id").alias("section_id")))
-    exact, every = near, near
-    while True:
-        far = exact.select(F.col("section_id").alias("_mid"), "descendant_id")
-        more = far.join(every.select(F.col("descendant_id").alias("_mid"), "section_id"), "_mid").select("descendant_id", "section_id")
-        more = durable(more)
-        if more.isEmpty():
-            return every.select("section_id", "descendant_id")
-        exact = durable(far.join(exact.select(F.col("descendant_id").alias("_mid"), "section_id"), "_mid").select("descendant_id", "section_id"))
-        every = durable(every.unionByName(more))
+    sum of all depths. trees: section_trees(); each section is paired with the sections whose intervals are open at it."""
+    sound = trees.filter("root_id is not null").select("section_id", F.col("root_id").alias("root"), (-F.col("entry")).alias("down"), "depth")
+    chains = scan_tours(sound, "section_id", "descendant_id string, above array<string>", lambda r, length, head, path: (r["section_id"], path[:-1]))
+    return chains.select(F.explode("above").alias("section_id"), "descendant_id")
