@@ -79,33 +79,40 @@ def has_back_reference(c: Column) -> Column:
     return F.coalesce(c.rlike(rf"(?i)(^|[^\p{{L}}\p{{N}}_])({words})($|[^\p{{L}}\p{{N}}_])") | c.rlike(BACK_REFERENCES_ZH), F.lit(False))
 
 
-# Fixed value: a heading that is continued, with its part and the number of parts.
-CONTINUATION = r"^(?s)(.*?)\s*\(?\s*([0-9]{1,9})\s*/\s*([0-9]{1,9})\s*\)?\s*$"
+def _without_end(c: Column, end: Column) -> Column:
+    return strip(F.left(c, F.length(c) - F.length(end)))
 
 
 def continuation_parts(title: Column) -> Column:
-    """struct(base, part, total) of a heading like "Title (2/3)"; null for any other."""
+    """struct(base, part, total) of a heading like "Title (2/3)", with or without either bracket; null for any other. Read from the end:
+    a bracket, the total, a slash, the part, a bracket."""
     t = strip(title)
-    base = strip(F.regexp_extract(t, CONTINUATION, 1))
-    part, total = (F.regexp_extract(t, CONTINUATION, k).try_cast("int") for k in (2, 3))
-    ok = t.rlike(CONTINUATION) & (base != "") & (part >= 1) & (part <= total)
-    return F.when(ok, F.struct(base.alias("base"), part.alias("part"), total.alias("total")))
+    t = F.when(t.endswith(")"), _without_end(t, F.lit(")"))).otherwise(t)
+    digits = lambda c: F.regexp_extract(c, "[0-9]+$", 0)
 
+    def parts(t: Column) -> Column:
+        return let(F.struct(digits(t).alias("total"), _without_end(t, digits(t)).alias("left")), lambda a: F.when((a["total"] != "") & a["left"].endswith("/"), numbered(a["total"], _without_end(a["left"], F.lit("/")))))
 
-# Fixed value: the fence that a model may put around its reply.
-FENCE = r"(?is)^```(?:json)?\s*|\s*```$"
+    def numbered(total: Column, left: Column) -> Column:
+        return let(F.struct(digits(left).alias("part"), _without_end(left, digits(left)).alias("base")), lambda b: F.struct(strip(F.when(b["base"].endswith("("), F.left(b["base"], F.length(b["base"]) - 1)).otherwise(b["base"])).alias("base"), b["part"].try_cast("int").alias("part"), total.try_cast("int").alias("total")))
+
+    found = let(t, parts)
+    return let(found, lambda f: F.when((f["base"] != "") & (f["part"] >= 1) & (f["part"] <= f["total"]), f))
 
 
 def llm_object(content: Column) -> Column:
-    """The JSON text of a model's reply without its code fence; null unless it is one object."""
+    """The JSON text of a model's reply without its code fence (three backticks, perhaps the word json, and three backticks at its end); null
+    unless it is one object."""
     body = strip(content)
-    bare = F.when(body.startswith("```"), strip(F.regexp_replace(body, FENCE, ""))).otherwise(body)
+    inside = F.substring(body, F.lit(4), F.length(body))
+    inside = F.when(F.lower(F.left(inside, F.lit(4))) == "json", F.substring(inside, F.lit(5), F.length(inside))).otherwise(inside)
+    inside = F.when(inside.endswith("```"), F.left(inside, F.length(inside) - 3)).otherwise(inside)
+    bare = F.when(body.startswith("```"), strip(inside)).otherwise(body)
     return F.when(F.try_parse_json(bare).isNotNull() & bare.startswith("{"), bare)
 
 
-# What ends a conservative sentence (a mark with its closers before a blank and a capital, digit or ideograph; an
-# ideographic mark with the blanks behind it), and the abbreviations behind which a full stop does not.
-SENTENCE_END = r"(?U)([.!?](?<!\b(?:Mr|Mrs|Dr|vs|Fig|No|e\.g|i\.e|[A-Z])\.)[\"')\]]*\s+(?=[A-Z0-9\x{4E00}-\x{9FFF}])|[。！？]\s*)"
+# Abbreviations behind which a full stop ends no conservative sentence; a single capital letter is one as well.
+ABBREVIATIONS = ("Mr", "Mrs", "Dr", "vs", "Fig", "No", "e.g", "i.e")
 #: Marks the ends; a noncharacter, which no text holds.
 _SEAM = "\uffff"
 
@@ -113,18 +120,28 @@ _SEAM = "\uffff"
 def sentences_of(c: Column) -> Column:
     """array<struct<start_char, end_char>> of the conservative sentences, without outer white space; empty for null and blank text.
 
-    All of it runs in the JVM: the ends are marked, the text is split at the marks and the lengths of the parts give offsets.
+    A sentence ends behind an ideographic mark, and behind a full stop, exclamation or question mark with its closing marks if blanks and
+    then a capital letter, digit or ideograph follow. All of it runs in the JVM: full stops of abbreviations are masked, the text is split behind
+    every mark, and a part joins the one before it unless it may begin a sentence. Only lengths count, so masks need not be undone.
     """
-    parts = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), SENTENCE_END, "$1" + _SEAM), _SEAM)
+    short = "|".join(x.replace(".", r"\.") for x in ABBREVIATIONS)
+    masked = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?U)(?<!\w)({short}|[A-Z])\.", "$1\ufffe")
+    parts = F.split(F.regexp_replace(masked, r"(?U)(?:[.!?][\"')\]]*\s+|[。！？])", "$0" + _SEAM), _SEAM)
     none = F.array().cast("array<struct<start_char:int,end_char:int>>")
 
     def step(s: Column, part: Column) -> Column:
-        start = s["at"] + F.length(part) - F.length(F.regexp_replace(part, rf"(?U)^{WHITE}+", ""))
-        size = F.length(strip(part))
-        span = F.struct(start.alias("start_char"), (start + size).alias("end_char"))
-        return F.struct((s["at"] + F.length(part)).alias("at"), F.when(size > 0, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
-
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+        lead = F.length(part) - F.length(F.regexp_replace(part, rf"(?U)^{WHITE}+", ""))
+        body = strip(part)
+        start, end = s["at"] + lead, s["at"] + lead + F.length(body)
+        begins = s["closed"] | body.rlike("^[A-Z0-9\u4e00-\u9fff]") | (F.size(s["out"]) == 0)
+        before = F.element_at(s["out"], F.when(F.size(s["out"]) > 0, F.lit(-1)))
+        span = F.struct(F.when(begins, start).otherwise(before["start_char"]).alias("start_char"), end.alias("end_char"))
+        kept = F.when(begins, s["out"]).otherwise(F.slice(s["out"], F.lit(1), F.greatest(F.lit(0), F.size(s["out"]) - 1)))
+        out = F.when(body != "", F.concat(kept, F.array(span))).otherwise(s["out"])
+        closed = F.when(body != "", body.rlike("[。！？]$")).otherwise(s["closed"])
+        return F.struct((s["at"] + F.length(part)).alias("at"), closed.alias("closed"), out.alias("out"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(False).alias("closed"), none.alias("out")), step, lambda s: s["out"])
 
 
 def coverage_form(text: str | None, canonical: bool) -> str | None:

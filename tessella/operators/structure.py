@@ -1,17 +1,14 @@
 """Document structure: layout order, headings to a section tree, blocks to sections, table rows, pages of sections.
 
-Whatever depends on the order of a document's items is one ordered scan: rows are hash-partitioned by document and sorted
-inside the partition, and the scan holds only the stack of open headings, never a document.
+Whatever depends on the order of a document's items is a running "last one before": items are range-partitioned by document and order,
+windows work inside a document's share of a partition, and what a share ends with is carried into those behind it. So no task holds
+a document, however large.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tessella.common import durable
@@ -45,64 +42,74 @@ def is_furniture(layer: Column, label: Column) -> Column:
     return F.coalesce(layer == "furniture", F.lit(False)) | F.coalesce(label.isin(*FURNITURE), F.lit(False))
 
 
-SCAN = T.StructType(
-    [
-        T.StructField("doc_id", T.StringType()), T.StructField("ordinal", T.LongType()), T.StructField("ref", T.StringType()), T.StructField("section_ref", T.StringType()),
-        T.StructField("is_section", T.BooleanType()), T.StructField("parent_ref", T.StringType()), T.StructField("title", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType())),
-    ]
-)
+def in_order(items: DataFrame, *order: str) -> DataFrame:
+    """`items` (doc_id, ...) with pos, which grows with the order inside each document, and _share: documents' rows in equal shares by range."""
+    ranged = items.repartitionByRange("doc_id", *order).sortWithinPartitions("doc_id", *order)
+    return durable(ranged.withColumn("_share", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()))
+
+
+def last_before(rows: DataFrame, of: dict[str, Column], upto: int = -1) -> DataFrame:
+    """`rows` of in_order() with, for each name, the last value of its expression that is not null before the row in its document
+    (upto=0: or at it)."""
+    inside = W.partitionBy("doc_id", "_share").orderBy("pos").rowsBetween(W.unboundedPreceding, upto)
+    ends = rows.groupBy("doc_id", "_share").agg(*(F.max_by(e, F.when(e.isNotNull(), F.col("pos"))).alias(n) for n, e in of.items()))
+    shares = W.partitionBy("doc_id").orderBy("_share").rowsBetween(W.unboundedPreceding, -1)  # a row a share
+    carried = ends.select("doc_id", "_share", *(F.last(n, ignorenulls=True).over(shares).alias("_carried_" + n) for n in of))
+    here = rows.select("*", *(F.last(e, ignorenulls=True).over(inside).alias("_here_" + n) for n, e in of.items()))
+    return here.join(carried, ["doc_id", "_share"]).select(*rows.columns, *(F.coalesce("_here_" + n, "_carried_" + n).alias(n) for n in of))
+
 
+def _numbered(text: Column) -> Column:
+    """struct(base, part, total) by which a heading and the one before it are compared; null for a heading without part."""
+    part = continuation_parts(text)
+    return F.when(part.isNotNull(), F.struct(casefold(part["base"]).alias("base"), part["part"].alias("part"), part["total"].alias("total")))
 
-def section_scan(items: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Sections and the section of every item, in one ordered scan (SCAN).
+
+def _continues(now: Column, before: Column) -> Column:
+    """Whether a heading struct(level, number) is the next part of the one before it."""
+    next_part = F.struct(before["number"]["base"], before["number"]["total"], before["number"]["part"] + 1, before["level"]) == F.struct(now["number"]["base"], now["number"]["total"], now["number"]["part"], now["level"])
+    return F.coalesce(next_part & now["number"].isNotNull() & before["number"].isNotNull(), F.lit(False))
+
+
+def section_scan(items: DataFrame) -> DataFrame:
+    """Sections and the section of every item: doc_id, ordinal, ref, section_ref, is_section, parent_ref, title, level, path.
 
     items: doc_id, doc_title, ordinal, ref, label, level, text (the title of a heading). A heading's parent is the nearest
     heading before it of a smaller level (1 where the level is null or less), else the document's root, whose ref is the
     doc_id. A heading "Title (n/m)" goes on with the section of the heading before it if that is part n-1 of the same title,
     total and level. Any item belongs to the last heading at or before it. path begins with the document's title.
+
+    The nearest heading of a smaller level is found level by level: of the last headings of all smaller levels, those are open behind
+    which none of a still smaller level came; the innermost is the parent and all of them are the path.
     """
-    part = continuation_parts(F.col("text"))
-    rows = items.filter("doc_id is not null").select("doc_id", F.coalesce("doc_title", "doc_id").alias("doc_title"), F.col("ordinal").cast("long").alias("ordinal"), "ref", F.coalesce(F.col("label").isin(*HEADINGS), F.lit(False)).alias("heading"), F.greatest(F.lit(1), F.coalesce("level", F.lit(1))).cast("int").alias("level"), F.coalesce("text", F.lit("")).alias("text"), casefold(part["base"]).alias("folded"), part["base"].alias("base"), part["part"].alias("part"), part["total"].alias("total"))
-    spread = rows.repartition(*([partitions] if partitions else []), "doc_id").sortWithinPartitions("doc_id", "ordinal", "ref")
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, stack, last = None, [], None
-        for b in it:
-            out = []
-            for r in b.to_pylist():
-                if r["doc_id"] != doc:
-                    doc, last = r["doc_id"], None
-                    stack = [(0, doc, [r["doc_title"]])]
-                if not r["heading"]:
-                    out.append((doc, r["ordinal"], r["ref"], stack[-1][1], False, None, None, None, None))
-                    continue
-                part = (r["folded"], r["part"], r["total"]) if r["part"] else None
-                goes_on = part and last and last[0] and last[0][0] == part[0] and last[0][2] == part[2] and last[0][1] + 1 == part[1] and last[1] == r["level"]
-                if goes_on:
-                    out.append((doc, r["ordinal"], r["ref"], stack[-1][1], False, None, None, None, None))
-                else:
-                    while len(stack) > 1 and stack[-1][0] >= r["level"]:
-                        stack.pop()
-                    title = r["base"] if part else r["text"]
-                    path = [*stack[-1][2], title]
-                    out.append((doc, r["ordinal"], r["ref"], r["ref"], True, stack[-1][1], title, r["level"], path))
-                    stack.append((r["level"], r["ref"], path))
-                last = part, r["level"]
-            columns = list(zip(*out, strict=True)) or [()] * len(SCAN)
-            types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=SCAN.fieldNames())
-
-    return spread.mapInArrow(batches, SCAN)
+    heading = F.coalesce(F.col("label").isin(*HEADINGS), F.lit(False))
+    level = F.greatest(F.lit(1), F.coalesce("level", F.lit(1))).cast("int")
+    text = F.coalesce("text", F.lit(""))
+    number = _numbered(text)
+    flat = items.filter("doc_id is not null").select("doc_id", F.coalesce("doc_title", "doc_id").alias("doc_title"), F.col("ordinal").cast("long").alias("ordinal"), "ref", F.when(heading, F.struct(level.alias("level"), number.alias("number"), F.coalesce(continuation_parts(text)["base"], text).alias("title"))).alias("head"))
+    rows = last_before(in_order(flat, "ordinal", "ref"), {"before": F.col("head")})
+    rows = rows.withColumn("is_section", F.col("head").isNotNull() & ~_continues(F.col("head"), F.col("before"))).drop("before")
+    levels = sorted(r[0] for r in rows.filter("is_section").select("head.level").distinct().collect())  # as many as there are levels of headings
+    begun = F.struct("pos", "ref", F.col("head.title").alias("title"), F.col("head.level").alias("level"))
+    rows = last_before(rows, {f"_{k}": F.when(F.col("is_section") & (F.col("head.level") == k), begun) for k in levels})
+    none = F.array().cast("array<struct<pos:bigint,ref:string,title:string,level:int>>")
+    last = F.array(*(F.col(f"_{k}") for k in levels)) if levels else none
+    # of the last headings by level, those that no later heading of a smaller level has closed
+    open_ = F.filter(last, lambda x, i: x.isNotNull() & ~F.exists(F.slice(last, F.lit(1), i), lambda y: F.coalesce(y["pos"] > x["pos"], F.lit(False))))
+    own = F.when(F.col("is_section"), F.col("head.level"))
+    rows = rows.withColumn("_open", open_).withColumn("_above", F.filter("_open", lambda x: own.isNull() | (x["level"] < own)))
+    inner = F.element_at(F.col("_above"), F.when(F.size("_above") > 0, F.size("_above")).otherwise(F.lit(None)))["ref"]
+    parent = F.coalesce(inner, F.col("doc_id"))
+    section = F.when(F.col("is_section"), F.col("ref")).otherwise(parent)
+    when = lambda c: F.when(F.col("is_section"), c)
+    path = F.concat(F.array("doc_title"), F.transform("_above", lambda x: x["title"]), F.array("head.title"))
+    return rows.select("doc_id", "ordinal", "ref", section.alias("section_ref"), "is_section", when(parent).alias("parent_ref"), when(F.col("head.title")).alias("title"), own.alias("level"), when(path).alias("path"))
 
 
 def continuations(headings: DataFrame) -> DataFrame:
-    """(doc_id, ref, goes_on) of headings (doc_id, ordinal, ref, level, text): the same rule as in section_scan, as a window."""
-    part = continuation_parts(F.col("text"))
-    here = headings.select("doc_id", "ordinal", "ref", "level", F.struct(casefold(part["base"]).alias("base"), part["part"].alias("part"), part["total"].alias("total")).alias("p"))
-    order = W.partitionBy("doc_id").orderBy("ordinal", "ref")
-    before = here.withColumn("_p", F.lag("p").over(order)).withColumn("_l", F.lag("level").over(order))
-    same = (F.col("p.base") == F.col("_p.base")) & (F.col("p.total") == F.col("_p.total")) & (F.col("p.part") == F.col("_p.part") + 1) & (F.col("level") == F.col("_l"))
-    return before.select("doc_id", "ref", F.coalesce(same, F.lit(False)).alias("goes_on"))
+    """(doc_id, ref, goes_on) of headings (doc_id, ordinal, ref, level, text): the rule of section_scan."""
+    flat = headings.select("doc_id", "ordinal", "ref", F.struct("level", _numbered(F.col("text")).alias("number")).alias("head"))
+    return last_before(in_order(flat, "ordinal", "ref"), {"before": F.col("head")}).select("doc_id", "ref", _continues(F.col("head"), F.col("before")).alias("goes_on"))
 
 
 def table_rows(cells: DataFrame) -> DataFrame:

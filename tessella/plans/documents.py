@@ -168,7 +168,7 @@ _S = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{20
 _HEADS = f"{_BL}, h AS (SELECT doc_id, block_id AS ref, ordinal, 1 + ordinal % 3 AS level, coalesce(text, '') AS text FROM b WHERE kind = 'heading'), par AS (SELECT h.ref, max_by(p.ref, struct_pack(o := p.ordinal, r := p.ref)) AS parent_ref FROM h JOIN h p ON p.doc_id = h.doc_id AND (p.ordinal < h.ordinal OR p.ordinal = h.ordinal AND p.ref < h.ref) AND p.level < h.level GROUP BY 1)"
 _PART = "'Part ' || floor(ordinal / 60)::INT || ' (' || (1 + ordinal % 3) || '/3)'"
 _FURN = "(coalesce(content_layer = 'furniture', false) OR coalesce(kind IN ('page_header', 'page_footer'), false))"
-_CONT = X.CONTINUATION.replace("^(?s)", "(?s)^")
+_CONT = r"([0-9]+)\s*/\s*([0-9]+)\s*\)?$"
 
 SQL = {
     "layout_preorder": f"""WITH RECURSIVE {_VALID}, o AS (SELECT section_id, any_value(ordinal) AS ordinal FROM (SELECT * FROM sections QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY written_at DESC) = 1) GROUP BY 1),
@@ -181,7 +181,8 @@ SELECT id AS node_id, root AS root_id, row_number() OVER (PARTITION BY root ORDE
 SELECT h.ref, coalesce(par.parent_ref, doc_id) AS parent_ref, text AS title, level::INT AS level, dep.n + 1 AS depth FROM h LEFT JOIN par USING (ref) JOIN dep USING (ref)""",
     "block_section_assign": f"WITH {_BL} SELECT block_id AS ref, coalesce(last_value(CASE WHEN kind = 'heading' THEN block_id END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ordinal, block_id ROWS UNBOUNDED PRECEDING), doc_id) AS section_ref FROM b",
     "continuation_parse": f"""WITH {_BL}, h AS (SELECT block_id AS ref, {_PART} AS text FROM b WHERE kind = 'heading' UNION ALL SELECT 'own_' || block_id, text FROM b WHERE kind = 'heading'),
-p AS (SELECT ref, regexp_extract(text, '{_CONT}', ['base', 'part', 'total']) AS p FROM h)
+t AS (SELECT ref, regexp_replace(text, '^[{_S}]+|[{_S}]+$', '', 'g') AS t FROM h), q AS (SELECT ref, regexp_extract(t, '{_CONT}', ['part', 'total']) AS q, rtrim(regexp_replace(t, '{_CONT}', '')) AS rest FROM t),
+p AS (SELECT ref, struct_pack(base := CASE WHEN rest LIKE '%(' THEN trim(rest[:-2]) ELSE rest END, part := q.part, total := q.total) AS p FROM q)
 SELECT ref, CASE WHEN ok THEN p.base END AS base, CASE WHEN ok THEN part END AS part, CASE WHEN ok THEN total END AS total FROM (SELECT *, try_cast(p.part AS INT) AS part, try_cast(p.total AS INT) AS total, coalesce(p.base <> '' AND try_cast(p.part AS INT) BETWEEN 1 AND try_cast(p.total AS INT), false) AS ok FROM p)""",
     "continuation_merge": f"""WITH {_BL}, h AS (SELECT block_id AS ref, doc_id, floor(ordinal / 60) AS base, 1 + ordinal % 3 AS part, ordinal FROM b WHERE kind = 'heading')
 SELECT ref, coalesce(base = lag(base) OVER w AND part = lag(part) OVER w + 1, false) AS goes_on FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal, ref)""",
