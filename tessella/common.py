@@ -42,12 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
 
-    Only where the session names none (tests, a laptop) is a temporary folder used. The files survive the loss
-    of any executor, which localCheckpoint's blocks do not.
+    Only where the session names none and runs in one process (tests, a laptop) is a temporary folder used; on a cluster its executors
+    would not share it, so there it is an error. The files survive the loss of any executor.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessella-"))
     return df.checkpoint()
 
 

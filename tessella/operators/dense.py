@@ -51,7 +51,8 @@ RESULT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("o
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
-    """(query_id, ordinal, score, rank) by cosine, rounded to 6 places; ties go to the smaller ordinal.
+    """(query_id, ordinal, score, rank) by cosine; ties go to the smaller ordinal. The 13th place, which depends on the order
+    of summation, does not count.
 
     vectors: ordinal, vector; queries: query_id, vector. Vectors and queries with a fault are left out, as are vectors of another
     dimension than the query's. Queries are sent in blocks of at most `block`.
@@ -89,7 +90,7 @@ def _scorer(shared, k: int):  # noqa: ANN001, ANN202
                 for j in range(0, len(at), 1024):
                     rows = at[j : j + 1024]
                     m = values[starts[rows][:, None] + np.arange(d)]
-                    s = np.round((m / np.linalg.norm(m, axis=1, keepdims=True)) @ q.T, 6).T  # queries x vectors
+                    s = np.round((m / np.linalg.norm(m, axis=1, keepdims=True)) @ q.T, 12).T  # queries x vectors
                     o = np.broadcast_to(ids[rows], s.shape)
                     if d in kept:
                         s, o = np.hstack([kept[d][0], s]), np.hstack([kept[d][1], o])

@@ -55,19 +55,24 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.build_index(corpus(spark, sf_dir)).statistics.select("n", F.round("average", 6).alias("average"))
 
 
+def _rounded(ranked: DataFrame, places: int) -> DataFrame:
+    """Only what is shown is rounded, behind the ranking."""
+    return ranked.withColumn("score", F.round("score", places))
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = asked(spark, sf_dir)
-    return lexical.bm25_search(lexical.build_index(corpus(spark, sf_dir), lexical.query_terms(q)), q)
+    return _rounded(lexical.bm25_search(lexical.build_index(corpus(spark, sf_dir), lexical.query_terms(q)), q), 9)
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.dense_search(vectors(spark, sf_dir), asked_vectors(spark, sf_dir))
+    return _rounded(dense.dense_search(vectors(spark, sf_dir), asked_vectors(spark, sf_dir)), 9)
 
 
 def scoped_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scope: the vectors that share a label with vector 0."""
     v = vectors(spark, sf_dir)
-    return dense.dense_search(dense.scoped(v, v.filter("ordinal = 0"), "label"), asked_vectors(spark, sf_dir), 10)
+    return _rounded(dense.dense_search(dense.scoped(v, v.filter("ordinal = 0"), "label"), asked_vectors(spark, sf_dir), 10), 9)
 
 
 def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,14 +149,14 @@ df AS (SELECT term, count(*) AS df, ln(1 + ((SELECT n FROM st) - count(*) + 0.5:
 def _sql_bm25(name: str, query: str) -> str:
     """CTEs <name>(query_id, ordinal, score, rank), the 20 best."""
     return f"""{name}_q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT doc_id AS query_id, unnest({sql_tokens(query)}) AS term FROM documents WHERE doc_id % 100 = 0) GROUP BY ALL),
-{name}_s AS (SELECT query_id, ordinal, round(sum(qtf * idf * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(t) / average)))), 9) AS score
+{name}_s AS (SELECT query_id, ordinal, round(sum(qtf * idf * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(t) / average)))), 12) AS score
   FROM {name}_q JOIN df USING (term) JOIN tf USING (term) JOIN tok USING (ordinal), st GROUP BY 1, 2),
 {name} AS (SELECT d.doc_id AS query_id, o.ordinal, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY d.doc_id ORDER BY coalesce(score, 0) DESC, o.ordinal) AS rank
   FROM (SELECT doc_id FROM documents WHERE doc_id % 100 = 0) d CROSS JOIN (SELECT ordinal FROM tok) o LEFT JOIN {name}_s s ON s.query_id = d.doc_id AND s.ordinal = o.ordinal QUALIFY rank <= 20)"""
 
 
 def _sql_dense(name: str, shift: int = 0, scope: str = "true", k: int = 20) -> str:
-    return f"""{name} AS (SELECT q.vec_id - {shift} AS query_id, v.vec_id AS ordinal, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank
+    return f"""{name} AS (SELECT q.vec_id - {shift} AS query_id, v.vec_id AS ordinal, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) DESC, v.vec_id) AS rank
   FROM embeddings q, embeddings v WHERE (q.vec_id - {shift}) % 100 = 0 AND q.vec_id >= {shift} AND {scope} QUALIFY rank <= {k})"""
 
 
@@ -175,7 +180,7 @@ SQL = {
     "bm25_df": f"WITH {_POST} SELECT term, df FROM df",
     "bm25_idf": f"WITH {_POST} SELECT term, round(idf, 9) AS idf FROM df",
     "bm25_stats": f"WITH {_POST} SELECT n, round(average, 6) AS average FROM st",
-    "bm25_topk": f"WITH {_POST}, {_sql_bm25('b', _TITLE)} SELECT * FROM b",
+    "bm25_topk": f"WITH {_POST}, {_sql_bm25('b', _TITLE)} SELECT query_id, ordinal, round(score, 9) AS score, rank FROM b",
     "dense_topk": f"WITH {_sql_dense('e')} SELECT * FROM e",
     "scoped_dense_topk": "WITH " + _sql_dense("e", 0, "v.label = (SELECT label FROM embeddings WHERE vec_id = 0)", 10) + " SELECT * FROM e",
     "vector_normalize": "SELECT vec_id, list_transform(embedding, lambda x: round((x * 2 / sqrt(list_sum(list_transform(embedding, lambda y: 4 * y::DOUBLE * y::DOUBLE))))::FLOAT::DOUBLE, 5) + 0.0::DOUBLE) AS vector FROM embeddings",
