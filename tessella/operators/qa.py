@@ -139,6 +139,16 @@ def public_sources(passages: DataFrame, documents: DataFrame, sections: DataFram
     return j.select("chunk_id", first_filled(F.col("_t"), F.col("_f"), F.col("doc_id")).alias("document"), page_list(F.col("_pages.page_start"), F.col("_pages.page_end")).alias("pages"), F.coalesce("text", F.lit("")).alias("excerpt"), section_path(F.col("_p"), F.col("_st"), F.coalesce("_known", F.lit(False))).alias("section_path"))
 
 
+def provenance(passages: DataFrame, documents: DataFrame, sections: DataFrame) -> DataFrame:
+    """Where each passage comes from, for internal use: chunk_id, document_id, document_title, filename, page_start, page_end,
+    section_path, excerpt (the whole passage) and source_spans (block_id, page_index, start_char, end_char)."""
+    d = documents.select("doc_id", F.col("title").alias("_t"), F.col("source_filename").alias("filename"))
+    s = sections.select("section_id", F.col("path").alias("_p"), F.col("title").alias("_st"), F.lit(True).alias("_known"))
+    j = passages.join(d, "doc_id", "left").join(s, "section_id", "left").withColumn("_pages", span_pages(F.col("source_spans")))
+    spans = F.transform(F.coalesce("source_spans", F.array().cast(passages.schema["source_spans"].dataType)), lambda x: F.struct(x["block_id"].alias("block_id"), x["page_index"].alias("page_index"), x["source_start_char"].alias("start_char"), x["source_end_char"].alias("end_char")))
+    return j.select("chunk_id", F.col("doc_id").alias("document_id"), F.coalesce("_t", "filename", "doc_id").alias("document_title"), "filename", "_pages.page_start", "_pages.page_end", section_path(F.col("_p"), F.col("_st"), F.coalesce("_known", F.lit(False))).alias("section_path"), F.coalesce("text", F.lit("")).alias("excerpt"), spans.alias("source_spans"))
+
+
 def passage_contexts(results: DataFrame) -> DataFrame:
     """What the model is shown of each result (query_id, ordinal, rank, text): its citation id and the text's first PASSAGE_LIMIT
     code points. The cut is the feature: the public source keeps the whole text."""

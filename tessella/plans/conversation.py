@@ -119,6 +119,15 @@ def source_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("chunk_id", "document", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), F.md5("excerpt").alias("excerpt_md5"), F.array_join("section_path", " > ", "").alias("section_path"))
 
 
+def source_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = latest(table(spark, sf_dir, "chunks"), "chunk_id", "ingested_at", "doc_id", "section_id", "text", "source_spans")
+    docs = latest(table(spark, sf_dir, "bundle_documents"), "doc_id", "registered_at", "title", "source_filename")
+    secs = latest(table(spark, sf_dir, "sections"), "section_id", "written_at", "title", "path")
+    p = qa.provenance(chunks, docs, secs)
+    spans = F.array_join(F.transform("source_spans", lambda x: F.concat_ws(":", x["block_id"], x["page_index"].cast("string"), x["start_char"].cast("string"), x["end_char"].cast("string"))), ",")
+    return p.select("chunk_id", "document_id", "document_title", "filename", "page_start", "page_end", F.array_join("section_path", " > ", "").alias("section_path"), F.md5("excerpt").alias("excerpt_md5"), spans.alias("spans"))
+
+
 _REQ = """r AS (SELECT request_id, conversation_id, context, coalesce(question, '') AS question,
   list_transform(list_filter(coalesce(context, []), lambda x: x IS NOT NULL), lambda x: struct_pack(q := coalesce(x.q, ''), a := coalesce(x.a, ''))) AS history
   FROM qa_requests WHERE request_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY received_at DESC, conversation_id DESC) = 1)"""
@@ -179,6 +188,12 @@ d AS (SELECT doc_id, title, source_filename FROM bundle_documents QUALIFY row_nu
 s AS (SELECT section_id, title, path FROM sections QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY written_at DESC) = 1),
 p AS (SELECT c.*, coalesce(nullif(d.title, ''), nullif(d.source_filename, ''), doc_id) AS document, s.section_id IS NOT NULL AS known, s.path, s.title AS st, list_filter(list_transform(source_spans, lambda x: x.page_index + 1), lambda x: x IS NOT NULL) AS pg FROM c LEFT JOIN d USING (doc_id) LEFT JOIN s USING (section_id))
 SELECT chunk_id, document, CASE WHEN list_min(pg) IS NULL THEN '' ELSE array_to_string(range(list_min(pg), list_max(pg) + 1), ',') END AS pages, md5(coalesce(text, '')) AS excerpt_md5, CASE WHEN known THEN coalesce(array_to_string(path, ' > '), st, '') ELSE '' END AS section_path FROM p""",
+    "source_provenance": """WITH c AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) = 1),
+d AS (SELECT doc_id, title, source_filename FROM bundle_documents QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY registered_at DESC) = 1),
+s AS (SELECT section_id, title, path FROM sections QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY written_at DESC) = 1)
+SELECT chunk_id, doc_id AS document_id, coalesce(d.title, d.source_filename, doc_id) AS document_title, d.source_filename AS filename, list_min(list_transform(source_spans, lambda x: x.page_index + 1)) AS page_start, list_max(list_transform(source_spans, lambda x: x.page_index + 1)) AS page_end,
+  CASE WHEN s.section_id IS NULL THEN '' ELSE coalesce(array_to_string(s.path, ' > '), s.title, '') END AS section_path, md5(coalesce(text, '')) AS excerpt_md5,
+  coalesce(array_to_string(list_transform(source_spans, lambda x: concat_ws(':', x.block_id, x.page_index, x.source_start_char, x.source_end_char)), ','), '') AS spans FROM c LEFT JOIN d USING (doc_id) LEFT JOIN s USING (section_id)""",
 }
 
-QUERIES = {f.__name__: f for f in (history_filter, rewrite_trigger, history_budget, retrieval_query, rewrite_history, answer_history, request_validate, qa_decision, qa_route, answer_validate, llm_json_parse, cited_sources, source_projection)}
+QUERIES = {f.__name__: f for f in (source_provenance, history_filter, rewrite_trigger, history_budget, retrieval_query, rewrite_history, answer_history, request_validate, qa_decision, qa_route, answer_validate, llm_json_parse, cited_sources, source_projection)}

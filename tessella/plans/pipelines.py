@@ -132,17 +132,41 @@ def build_corpus(documents: DataFrame, items: DataFrame, max_tokens: int = 384,
     return out
 
 
-def answer_batch(requests: DataFrame, corpus: Mapping[str, DataFrame], encoder: plugins.Encoder, generator: plugins.Generator, rewriter: Callable[[str, str], str | None] | None = None, mode: str = "conditional", final_k: int = 5, clarify: str = "Which unit or step do you mean?") -> DataFrame:
-    """(request_id, status, response_type, answer, sources) of request bodies (request_id bigint, body).
+# What is asked back; how many of a reply's missing points are kept.
+CLARIFY, MISSING = "Which unit or step do you mean?", 3
+TRACE = "request_id bigint, rewrite_triggered boolean, rewrite_succeeded boolean, rewrite_query string, rewrite_calls int, answer_calls int, retrieved_documents array<string>, retrieved_chunks array<struct<rank:int,chunk_id:string,doc_id:string,score:double,component_scores:map<string,double>,text:string,source_spans:array<struct<block_id:string,page_index:int,source_start_char:int,source_end_char:int,chunk_start_char:int,chunk_end_char:int>>>>, response_type string, answerable boolean, generated_answer string, missing_information array<string>, final_k int"
+
+
+def answer_batch(requests: DataFrame, corpus: Mapping[str, DataFrame] | None, encoder: plugins.Encoder | None, generator: plugins.Generator | None, rewriter: Callable[[str, str], str | None] | None = None, mode: str = "conditional", final_k: int = 5, clarify: str = CLARIFY) -> DataFrame:
+    """The responses alone of answers()."""
+    return answers(requests, corpus, encoder, generator, rewriter, mode, final_k, clarify)["responses"]
+
+
+def answers(requests: DataFrame, corpus: Mapping[str, DataFrame] | None, encoder: plugins.Encoder | None, generator: plugins.Generator | None, rewriter: Callable[[str, str], str | None] | None = None, mode: str = "conditional", final_k: int = 5, clarify: str = CLARIFY) -> dict[str, DataFrame]:
+    """responses (request_id, conversation_id, status, response_type, answer, sources) and traces of request bodies (request_id bigint, body).
 
     corpus: chunks with a bigint ordinal (chunk_id, doc_id, section_id, text, retrieval_text, source_spans), vectors (chunk_id, vector),
     documents and sections. status: 200, 422 for a body with a fault, 502 where the model's reply is unusable after its repair or the
-    question is too long for the encoder. `rewriter` gets question and history and gives a question, or None.
+    question is too long for the encoder, 503 for a sound body while corpus, encoder or generator is not there. `rewriter` gets question
+    and history and gives a question, or None.
+
+    traces has a row for each request that was answered or asked back: request_id, rewrite_triggered, rewrite_succeeded, rewrite_query,
+    rewrite_calls, answer_calls, retrieved_documents (titles by rank), retrieved_chunks (rank, chunk_id, doc_id, score, component_scores, text,
+    source_spans), response_type, answerable, generated_answer, missing_information (three at most) and final_k. Durations belong to a
+    service and are left out of a batch.
     """
     if not 1 <= final_k <= 20:
         raise ValueError("final_k must be within 1..20")
-    judged = durable(requests.select("request_id", "body").withColumn("fault", qa.request_fault(F.col("body"))))
     v = F.try_parse_json("body")
+    fault = qa.request_fault(F.col("body"))
+    judged = durable(requests.select("request_id", "body").withColumn("fault", fault).withColumn("conversation_id", F.when(F.col("fault").isNull(), F.try_variant_get(v, "$.conversation_id", "bigint"))))
+    none = F.array().cast("array<struct<document:string,pages:array<int>,excerpt:string>>")
+    row = lambda d, status, kind, text: d.select("request_id", F.lit(status).alias("status"), F.lit(kind).cast("string").alias("response_type"), text.cast("string").alias("answer"), none.alias("sources"))
+    named = lambda d: d.join(judged.select("request_id", "conversation_id"), "request_id").select("request_id", "conversation_id", "status", "response_type", "answer", "sources")
+    unsound = row(judged.filter("fault is not null"), 422, None, F.col("fault"))
+    if corpus is None or encoder is None or generator is None:
+        waiting = row(judged.filter("fault is null"), 503, None, F.lit("not_ready"))
+        return {"responses": named(unsound.unionByName(waiting)), "traces": requests.sparkSession.createDataFrame([], TRACE)}
     item = F.transform(F.try_variant_get(v, "$.context", "array<variant>"), lambda x: F.struct(X.strip(F.variant_get(x, "$.Q", "string")).alias("q"), X.strip(F.variant_get(x, "$.A", "string")).alias("a")))
     sound = judged.filter("fault is null").select("request_id", X.strip(F.variant_get(v, "$.question", "string")).alias("question"), H.answered(H.pairs(item)).alias("history"))
     asks = F.lit(mode == "conditional") & X.has_back_reference(F.col("question")) & (F.size("history") > 0)
@@ -175,14 +199,23 @@ def answer_batch(requests: DataFrame, corpus: Mapping[str, DataFrame], encoder:
     prompt = F.to_json(F.struct("question", H.answer_history(F.col("history")).alias("history"), F.transform("_c", lambda c: F.struct(c["citation_id"], c["text"])).alias("passages")))
     asked = rows.filter("route <> 'clarify' and _refused is null").select("request_id", prompt.alias("prompt"), F.transform(F.coalesce("_c", F.array().cast("array<struct<rank:int,citation_id:string,text:string>>")), lambda c: c["citation_id"]).alias("ids"))
     replied = durable(plugins.generate(asked, "prompt", "ids", generator).withColumn("_v", X.llm_object(F.col("reply"))))
-    ok = replied.filter("size(reply_faults) = 0").select("request_id", F.from_json("_v", "response_type string, answer string, citation_ids array<string>").alias("r")).select("request_id", "r.*")
+    ok = replied.filter("size(reply_faults) = 0").select("request_id", "reply_calls", F.from_json("_v", "response_type string, answerable boolean, answer string, citation_ids array<string>, missing_information array<string>").alias("r")).select("request_id", "reply_calls", "r.*")
     cited = qa.cited_sources(found, ok.filter("response_type = 'answer'").select(F.col("request_id").alias("query_id"), "citation_ids"))
     sources = qa.public_sources(found.select("chunk_id", "doc_id", "section_id", "text", "source_spans").dropDuplicates(["chunk_id"]), corpus["documents"], corpus["sections"])
     listed = cited.join(chunks.select("ordinal", "chunk_id"), "ordinal").join(sources, "chunk_id").groupBy(F.col("query_id").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("position", "document", "pages", "excerpt"))).alias("_s"))
-    none = F.array().cast("array<struct<document:string,pages:array<int>,excerpt:string>>")
-    answers = ok.join(listed, "request_id", "left").select("request_id", F.lit(200).alias("status"), "response_type", F.when(F.col("response_type") == "abstain", H.NON_ANSWER).otherwise(X.strip(F.col("answer"))).alias("answer"), F.coalesce(F.transform("_s", lambda s: F.struct(s["document"].alias("document"), s["pages"].alias("pages"), s["excerpt"].alias("excerpt"))), none).alias("sources"))
-    row = lambda d, status, kind, text: d.select("request_id", F.lit(status).alias("status"), F.lit(kind).cast("string").alias("response_type"), text.cast("string").alias("answer"), none.alias("sources"))
+    given = ok.join(listed, "request_id", "left").select("request_id", F.lit(200).alias("status"), "response_type", F.when(F.col("response_type") == "abstain", H.NON_ANSWER).otherwise(X.strip(F.col("answer"))).alias("answer"), F.coalesce(F.transform("_s", lambda s: F.struct(s["document"].alias("document"), s["pages"].alias("pages"), s["excerpt"].alias("excerpt"))), none).alias("sources"))
     asked_back = row(routed.filter("route = 'clarify'"), 200, "clarify", F.lit(clarify))
     failed = row(replied.filter("size(reply_faults) > 0"), 502, None, F.array_join("reply_faults", ","))
     too_long = row(rows.filter("_refused and route <> 'clarify'"), 502, None, F.lit("question_not_encoded"))
-    return answers.unionByName(asked_back).unionByName(failed).unionByName(too_long).unionByName(row(judged.filter("fault is not null"), 422, None, F.col("fault")))
+    responses = named(given.unionByName(asked_back).unionByName(failed).unionByName(too_long).unionByName(unsound))
+
+    titles = corpus["documents"].select("doc_id", F.col("title").alias("_title"))
+    listed = found.join(titles, "doc_id", "left").groupBy(F.col("query_id").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("_title", "doc_id").alias("title"), F.struct("chunk_id", "doc_id", "score", "components", "text", "source_spans").alias("c"))), lambda x, y: x["rank"] - y["rank"]).alias("_r"))  # final_k rows
+    of_rank = F.coalesce("_r", F.array().cast(listed.schema["_r"].dataType))
+    told = routed.select("request_id", "route", "rewrite", (F.col("route").isin("clarify", "search_with_rewrite")).alias("_refers")).join(flat.select("request_id", F.col("_said").isNotNull().alias("_asked")), "request_id")
+    reply = ok.select("request_id", F.col("reply_calls").alias("answer_calls"), F.col("response_type"), "answerable", F.col("answer").alias("generated_answer"), F.slice(F.coalesce("missing_information", F.array().cast("array<string>")), 1, MISSING).alias("missing_information"))
+    back = told.filter("route = 'clarify'").select("request_id", F.lit(0).alias("answer_calls"), F.lit("clarify").alias("response_type"), F.lit(False).alias("answerable"), F.lit(clarify).alias("generated_answer"), F.array().cast("array<string>").alias("missing_information"))
+    every = told.join(reply.unionByName(back), "request_id").join(listed, "request_id", "left")
+    succeeded = F.coalesce(F.col("rewrite") != "", F.lit(False))
+    traces = every.select("request_id", F.col("_refers").alias("rewrite_triggered"), succeeded.alias("rewrite_succeeded"), F.when(succeeded, F.col("rewrite")).alias("rewrite_query"), F.when(F.col("_asked") & F.lit(rewriter is not None), 1).otherwise(0).alias("rewrite_calls"), "answer_calls", F.transform(of_rank, lambda x: x["title"]).alias("retrieved_documents"), F.transform(of_rank, lambda x: F.struct(x["rank"].alias("rank"), *(x["c"][c].alias(c) for c in ("chunk_id", "doc_id", "score")), x["c"]["components"].alias("component_scores"), x["c"]["text"].alias("text"), x["c"]["source_spans"].alias("source_spans"))).alias("retrieved_chunks"), "response_type", "answerable", "generated_answer", "missing_information", F.lit(final_k).alias("final_k"))
+    return {"responses": responses, "traces": traces}

@@ -13,7 +13,7 @@ from tessella.common import latest, table
 from tessella.functions import text as X
 from tessella.operators import store
 from tessella.plans.documents import _items
-from tessella.plans.pipelines import answer_batch, build_corpus
+from tessella.plans.pipelines import answers, build_corpus
 
 
 def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def _generator(prompt: str) -> str:
     return json.dumps({"response_type": "answer", "answerable": True, "answer": "See the passage.", "citation_ids": ["C001"]})
 
 
-def qa_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _answered(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Answers to every request whose number is divisible by 100, against all passages; a rewrite is the last question and the new one."""
     c = latest(table(spark, sf_dir, "chunks"), "chunk_id", "ingested_at", "doc_id", "section_id", "text", "source_spans")
     docs = latest(table(spark, sf_dir, "bundle_documents"), "doc_id", "registered_at", "title", "source_filename")
@@ -39,9 +39,18 @@ def qa_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.transform("context", lambda x: F.struct(x["q"].alias("Q"), F.when(F.trim(F.coalesce(x["a"], F.lit(""))) == "", "-").otherwise(x["a"]).alias("A")))
     asked = latest(table(spark, sf_dir, "qa_requests"), "request_id", "received_at", "conversation_id", "context", "question").withColumn("number", F.regexp_extract("request_id", "([0-9]+)$", 1).try_cast("bigint")).filter("number % 100 = 0")
     body = F.to_json(F.struct("conversation_id", F.coalesce(item, F.array().cast("array<struct<Q:string,A:string>>")).alias("context"), "question"), {"ignoreNullFields": "false"})
-    out = answer_batch(asked.select(F.col("number").alias("request_id"), body.alias("body")), {"chunks": chunks, "vectors": vectors, "documents": docs, "sections": secs}, plugins.hashing_encoder(), _generator, lambda q, h: f"{h.splitlines()[0]} {q}"[:2000] if h else None)
-    return out.select("request_id", "status", "response_type", "answer", F.size("sources").alias("sources"), F.get(F.col("sources"), F.lit(0))["document"].alias("document"))
+    return answers(asked.select(F.col("number").alias("request_id"), body.alias("body")), {"chunks": chunks, "vectors": vectors, "documents": docs, "sections": secs}, plugins.hashing_encoder(), _generator, lambda q, h: f"{h.splitlines()[0]} {q}"[:2000] if h else None)
+
+
+def qa_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _answered(spark, sf_dir)["responses"]
+    return out.select("request_id", "conversation_id", "status", "response_type", "answer", F.size("sources").alias("sources"), F.get(F.col("sources"), F.lit(0))["document"].alias("document"))
+
+
+def qa_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _answered(spark, sf_dir)["traces"]
+    return t.select("request_id", "rewrite_triggered", "rewrite_succeeded", "rewrite_query", "rewrite_calls", "answer_calls", "retrieved_documents", F.transform("retrieved_chunks", lambda c: c["chunk_id"]).alias("retrieved_chunks"), "response_type", "answerable", "final_k")
 
 
-QUERIES = {"corpus_build": corpus_build, "qa_batch": qa_batch}
+QUERIES = {"corpus_build": corpus_build, "qa_batch": qa_batch, "qa_trace": qa_trace}
 SQL: dict[str, str] = {}

@@ -47,7 +47,7 @@ def encode(df: DataFrame, column: str, encoder: Encoder, prefix: str = "passage:
 
 
 def generate(df: DataFrame, prompt: str, citations: str, generator: Generator) -> DataFrame:
-    """`df` with `reply` and `reply_faults`: one call for each row and, where the reply breaks a rule, one repair call that names the
+    """`df` with `reply`, `reply_faults` and `reply_calls`: one call for each row and, where the reply breaks a rule, one repair call that names the
     rules; what is still broken keeps its faults."""
 
     def call(column: str) -> Callable[[DataFrame], DataFrame]:
@@ -66,7 +66,8 @@ def generate(df: DataFrame, prompt: str, citations: str, generator: Generator) -
     first = df.transform(call(prompt)).withColumn("reply_faults", answer_faults(F.col("reply"), F.col(citations)))
     repair = F.when(F.size("reply_faults") > 0, F.concat(F.col(prompt), F.lit("\nThe reply was not usable: "), F.array_join("reply_faults", ", "), F.lit(". Reply with the JSON object alone.")))
     second = first.withColumn("_repair", repair).drop("reply_faults").transform(call("_repair"))
-    return second.drop("_repair").withColumn("reply_faults", answer_faults(F.col("reply"), F.col(citations)))
+    calls = F.when(F.col("_repair").isNull(), 1).otherwise(2)
+    return second.withColumn("reply_calls", calls).drop("_repair").withColumn("reply_faults", answer_faults(F.col("reply"), F.col(citations)))
 
 
 def hashing_encoder(dim: int = 64) -> Encoder:

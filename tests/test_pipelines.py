@@ -4,7 +4,7 @@ import pytest
 
 from tessella import plugins
 from tessella.operators import store
-from tessella.plans.pipelines import answer_batch, build_corpus
+from tessella.plans.pipelines import answer_batch, answers, build_corpus
 
 ITEMS = [
     ("d", 0, "h0", "title", 1, "Restart", 0, "body"), ("d", 1, "p0", "text", None, "Restart the server with care. Wait ten seconds.", 0, None), ("d", 2, "f0", "page_footer", None, "page 1", 0, "furniture"),
@@ -59,6 +59,11 @@ def test_answers(spark, corpus):
     assert got[7]["answer"] == "unknown_field" and got[6]["sources"] == []
     with pytest.raises(ValueError):
         answer_batch(requests, corpus, plugins.hashing_encoder(), model, final_k=21)
+    assert {r["status"] for r in answer_batch(requests, None, plugins.hashing_encoder(), model).collect()} == {503, 422} and got[1]["conversation_id"] is not None and got[7]["conversation_id"] is None
+    traces = {r["request_id"]: r for r in answers(requests, corpus, plugins.hashing_encoder(), model, lambda q, h: None if "nothing" in q else "alarm lamp")["traces"].collect()}
+    assert set(traces) == {1, 2, 3, 4, 6, 9} and traces[3]["rewrite_query"] == "alarm lamp" and traces[3]["rewrite_calls"] == 1 and not traces[4]["rewrite_succeeded"]
+    assert traces[1]["answer_calls"] == 1 and [c["rank"] for c in traces[1]["retrieved_chunks"]] == list(range(1, len(traces[1]["retrieved_chunks"]) + 1)) and traces[1]["retrieved_documents"][0] == "Guide"
+    assert traces[6]["response_type"] == "abstain" and traces[6]["generated_answer"] == "no idea" and traces[2]["retrieved_chunks"] == [] and traces[6]["missing_information"] == []
 
 
 def test_build_with_order_tables_figures_and_native_cells(spark):
