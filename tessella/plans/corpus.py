@@ -1,6 +1,6 @@
 """Queries on native text recovery and the corpus store, with their SQL. Boxes are a fixture: a block's item stands in the column and line
 that its ordinal gives, and each of its lines is a native cell; those of every seventh are invisible and of every fifth displaced.
-cell_overlap_join has, by its SQL, one cell an item, of its first line."""
+Every line of a block is a cell."""
 
 from __future__ import annotations
 
@@ -37,17 +37,12 @@ def _cells(boxed: DataFrame) -> DataFrame:
     return lines.select("doc_id", "page_index", ref.alias("cell_ref"), F.col("_line").alias("text"), F.when(F.col("ordinal") % 7 == 0, 3).otherwise(0).alias("rendering_mode"), box.alias("cell_box"))
 
 
-def _first_cells(boxed: DataFrame) -> DataFrame:
-    """One cell an item, as in the SQL of cell_overlap_join."""
-    return _cells(boxed.withColumn("text", F.element_at(F.split("text", "\n"), 1)))
-
-
 def bbox_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxed(spark, sf_dir).select("block_id", *[F.col(f"item_box.{k}").alias(k) for k in R.BOX])
 
 
 def cell_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _first_cells(_boxed(spark, sf_dir)).select("doc_id", "page_index", "cell_ref", "cell_box")
+    cells = _cells(_boxed(spark, sf_dir)).select("doc_id", "page_index", "cell_ref", "cell_box")
     return R.overlapping(cells, _items(spark, sf_dir).select("doc_id", "page_index", "item_ref", "item_box")).select("cell_ref", "item_ref")
 
 
@@ -86,12 +81,25 @@ def record_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOX = "x AS (SELECT *, (ordinal % 3) * 150.0::DOUBLE AS l, (ordinal % 11) * 60.0::DOUBLE AS t, (ordinal % 3) * 150.0::DOUBLE + 120 AS r, (ordinal % 11) * 60.0::DOUBLE + 40 AS bt FROM b WHERE page_index IS NOT NULL AND text IS NOT NULL)"
-_CELL = "n AS (SELECT block_id AS cell_ref, doc_id, page_index, ordinal, string_split(text, chr(10))[1] AS text, l + CASE WHEN ordinal % 5 = 0 THEN 2000 ELSE 0 END AS l, t + 10 AS t, r + CASE WHEN ordinal % 5 = 0 THEN 2000 ELSE 0 END AS r, bt - 10 AS bt FROM x)"
 _MEET = "least(n.r, x.r) + 2 >= greatest(n.l, x.l) AND least(n.bt, x.bt) + 2 >= greatest(n.t, x.t)"
+_STRIPPED = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Statuses of the cells of all lines. DuckDB has no compatibility form; on both sides of the comparison it is left out.
+_STATUS = rf"""n AS (SELECT block_id || CASE WHEN k = 1 THEN '' ELSE ':' || (k - 1) END AS cell_ref, doc_id, page_index, ordinal, lines[k] AS text, l + away AS l, t + 10 + (k - 1) * 20.0::DOUBLE / len(lines) AS t, r + away AS r, t + 10 + k * 20.0::DOUBLE / len(lines) AS bt
+  FROM (SELECT *, string_split(text, chr(10)) AS lines, CASE WHEN ordinal % 5 = 0 THEN 2000 ELSE 0 END AS away FROM x), unnest(range(1, len(lines) + 1)) u(k)),
+fixed AS (SELECT *, regexp_replace(text, '{_STRIPPED}', '', 'g') AS needle, CASE WHEN ordinal % 7 = 0 THEN 'invisible' WHEN NOT (regexp_matches(text, '[\p{{L}}\p{{N}}=<>+&|]') AND regexp_replace(text, '{_STRIPPED}', '', 'g') <> '') THEN 'nonsemantic' END AS fixed FROM n),
+near AS (SELECT cell_ref, max(contains(hay, needle)) AS one, contains(string_agg(hay, '' ORDER BY x.ordinal, block_id), any_value(needle)) AS every, arg_min(section_id, struct_pack(o := x.ordinal, b := block_id)) FILTER (section_id IS NOT NULL) AS s
+  FROM (SELECT * FROM fixed WHERE fixed IS NULL) n JOIN (SELECT *, regexp_replace(replace(text, ' | ', ' '), '{_STRIPPED}', '', 'g') AS hay FROM x) x ON n.doc_id = x.doc_id AND n.page_index = x.page_index AND {_MEET} GROUP BY 1),
+page AS (SELECT doc_id, page_index, arg_min(section_id, struct_pack(o := ordinal, b := block_id)) AS s FROM x WHERE section_id IS NOT NULL GROUP BY 1, 2),
+st AS (SELECT f.doc_id, f.cell_ref, coalesce(fixed, CASE WHEN one THEN 'matched' WHEN every THEN 'matched_across' ELSE 'recovered' END) AS status, coalesce(near.s, page.s) AS s FROM fixed f LEFT JOIN near USING (cell_ref) LEFT JOIN page ON page.doc_id = f.doc_id AND page.page_index = f.page_index)"""
+_GONE = "d AS (SELECT doc_id, max(page_count) AS n FROM bundle_documents GROUP BY 1), e AS (SELECT doc_id, unnest(range(n))::INT AS page_index FROM d WHERE n > 0), gone AS (SELECT * FROM e WHERE (doc_id, page_index) NOT IN (SELECT (doc_id, page_index) FROM b WHERE page_index IS NOT NULL AND doc_id IS NOT NULL))"
 
 SQL = {
+    "native_cell_status": f"WITH {_BL}, {_BOX}, {_STATUS} SELECT cell_ref, status, CASE WHEN status = 'recovered' THEN s END AS section_id FROM st",
+    "recovery_stats": f"""WITH {_BL}, {_BOX}, {_STATUS}, {_GONE}, a AS (SELECT doc_id, count(*) FILTER (status IN ('matched', 'matched_across', 'recovered')) AS meaningful, count(*) FILTER (status IN ('matched', 'matched_across')) AS matched, count(*) FILTER (status = 'recovered') AS recovered FROM st GROUP BY 1),
+g AS (SELECT doc_id, count(*) AS missing_pages FROM gone GROUP BY 1)
+SELECT doc_id, coalesce(meaningful, 0) AS meaningful, coalesce(matched, 0) AS matched, coalesce(recovered, 0) AS recovered, coalesce(missing_pages, 0) AS missing_pages, CASE WHEN missing_pages > 0 THEN 'incomplete' WHEN recovered > 0 THEN 'recovered' ELSE 'matched' END AS status FROM a FULL JOIN g USING (doc_id)""",
     "bbox_normalize": f"WITH {_BL}, {_BOX} SELECT block_id, l, t, r, bt AS b FROM x",
-    "cell_overlap_join": f"WITH {_BL}, {_BOX}, {_CELL} SELECT cell_ref, block_id AS item_ref FROM n JOIN x ON n.doc_id = x.doc_id AND n.page_index = x.page_index AND {_MEET}",
+    "cell_overlap_join": f"WITH {_BL}, {_BOX}, {_STATUS} SELECT cell_ref, block_id AS item_ref FROM n JOIN x ON n.doc_id = x.doc_id AND n.page_index = x.page_index AND {_MEET}",
     "missing_pages": f"WITH {_BL}, d AS (SELECT doc_id, max(page_count) AS n FROM bundle_documents GROUP BY 1), e AS (SELECT doc_id, unnest(range(n))::INT AS page_index FROM d WHERE n > 0) SELECT * FROM e WHERE (doc_id, page_index) NOT IN (SELECT (doc_id, page_index) FROM b WHERE page_index IS NOT NULL AND doc_id IS NOT NULL)",
     "manifest_verify": """WITH s AS (SELECT doc_id::VARCHAR AS name, sha256(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS a FROM documents WHERE text IS NOT NULL AND doc_id % 7 <> 0), f AS (SELECT doc_id::VARCHAR AS name, sha256(text) AS b FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 0)
 SELECT * FROM (SELECT name, CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'not_stated' WHEN a <> b THEN 'changed' END AS fault FROM s FULL JOIN f USING (name)) WHERE fault IS NOT NULL""",
