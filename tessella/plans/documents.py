@@ -169,8 +169,23 @@ _HEADS = f"{_BL}, h AS (SELECT doc_id, block_id AS ref, ordinal, 1 + ordinal % 3
 _PART = "'Part ' || floor(ordinal / 60)::INT || ' (' || (1 + ordinal % 3) || '/3)'"
 _FURN = "(coalesce(content_layer = 'furniture', false) OR coalesce(kind IN ('page_header', 'page_footer'), false))"
 _CONT = r"([0-9]+)\s*/\s*([0-9]+)\s*\)?$"
+_SHORT = "|".join(x.replace(".", r"\.") for x in X.ABBREVIATIONS)
+_MASK = rf"regexp_replace({{}}, '(^|[^\p{{{{L}}}}\p{{{{M}}}}\p{{{{N}}}}_])({_SHORT}|[A-Z])\.', '\1\2' || chr(65534), 'g')"
+_WS = _S.replace(r"\x1c-\x1f", "")
 
 SQL = {
+    "sentence_units": rf"""WITH {_BL}, t AS (SELECT block_id, kind, text FROM b WHERE text IS NOT NULL AND regexp_matches(text, '[^{_S}]')),
+p AS (SELECT block_id, string_split(regexp_replace({_MASK.format(_MASK.format("text"))}, '([.!?]["'')\]]*[{_WS}]+|[。！？])', '\1' || chr(65535), 'g'), chr(65535)) AS p FROM t WHERE kind IS DISTINCT FROM 'table_row'),
+o AS (SELECT block_id, k, p[k] AS part, coalesce(list_sum(list_transform(p[:k - 1], lambda x: length(x))), 0) AS shift FROM p, unnest(range(1, len(p) + 1)) u(k)),
+q AS (SELECT *, regexp_replace(part, '^[{_S}]+|[{_S}]+$', '', 'g') AS body, length(part) - length(regexp_replace(part, '^[{_S}]+', '')) AS skipped FROM o),
+g AS (SELECT *, coalesce(lag(regexp_matches(body, '[。！？]$')) OVER w, true) OR regexp_matches(body, '^[A-Z0-9\x{{4e00}}-\x{{9fff}}]') AS begins FROM q WHERE body <> '' WINDOW w AS (PARTITION BY block_id ORDER BY k)),
+n AS (SELECT *, sum(begins::INT) OVER (PARTITION BY block_id ORDER BY k) AS n FROM g),
+s AS (SELECT block_id, min(shift + skipped)::BIGINT AS start_char, max(shift + skipped + length(body))::BIGINT AS end_char FROM n GROUP BY block_id, n UNION ALL SELECT block_id, 0, length(text) FROM t WHERE kind = 'table_row')
+SELECT 'su_' || substring(sha256('[' || to_json(block_id)::VARCHAR || ',' || start_char || ',' || end_char || ']'), 1, 24) AS source_unit_id, block_id, start_char, end_char, md5(text[start_char + 1:end_char]) AS text_md5 FROM s JOIN t USING (block_id)""",
+    "align_segments": f"""WITH {_CH}, p AS (SELECT chunk_id, string_split(text, chr(10)) AS p FROM c WHERE text IS NOT NULL),
+o AS (SELECT chunk_id, k, p[k] AS line, coalesce(list_sum(list_transform(p[:k - 1], lambda x: length(x) + 1)), 0) AS shift FROM p, unnest(range(1, len(p) + 1)) u(k)),
+q AS (SELECT *, regexp_replace(line, '^[{_S}]+', '') AS left_off, regexp_replace(line, '[{_S}]+$', '') AS right_off FROM o)
+SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY k) - 1 AS position, shift + length(line) - length(left_off) AS start_char, shift + length(right_off) AS end_char FROM q WHERE left_off <> ''""",
     "layout_preorder": f"""WITH RECURSIVE {_VALID}, o AS (SELECT section_id, any_value(ordinal) AS ordinal FROM (SELECT * FROM sections QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY written_at DESC) = 1) GROUP BY 1),
 w AS (SELECT v.section_id AS id, v.section_id AS root, [struct_pack(a := o.ordinal, b := v.section_id)] AS key, v.parent_id IS NOT NULL AS orphan FROM v JOIN o USING (section_id) WHERE v.parent_id IS NULL OR v.parent_id NOT IN (SELECT section_id FROM v)
   UNION ALL SELECT v.section_id, w.root, list_append(w.key, struct_pack(a := o.ordinal, b := v.section_id)), w.orphan FROM w JOIN v ON v.parent_id = w.id JOIN o ON o.section_id = v.section_id),
