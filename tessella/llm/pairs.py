@@ -1,6 +1,6 @@
 """Defects of prompt and response pairs.
 
-Two models are trained here, both by counting in Spark:
+Three models are trained here:
 
 * Language: naive Bayes on character n-grams. It is fitted on a bounded sample of documents with a language label
   (`per_language` documents a language, chosen by a hash of doc_id), with all its n-grams; labels are noisy, which naive
@@ -10,6 +10,8 @@ Two models are trained here, both by counting in Spark:
   occurs twice is kept, in a table. Contexts that make up at least 1/`heavy` of all, which are at most `heavy` rows whatever
   the log, are sent to the workers; responses whose last words hold another one are joined with the table.
 
+* Refusal: logistic regression on word n-grams, fitted on labelled sentences and a bounded sample of the log (refusals.py).
+
 The first defect that applies is reported: empty, copy, refusal, language, truncated.
 """
 
@@ -29,38 +31,12 @@ from pyspark.sql import functions as F
 
 from tessella.common import durable, latest
 from tessella.llm.counts import key_counts
+from tessella.llm.refusals import declines, refusal_model
 
 # Texts that stand for no answer (compared without case and outer brackets).
 PLACEHOLDERS = {"n/a", "na", "n.a", "none", "null", "nil", "nan", "tbd", "todo", "empty", "undefined", "missing", "no answer", "blank", "keine", "k.a", "aucune", "aucun", "ninguno", "ninguna", "無", "无", "なし", "未定", "待定"}
 # Labels that may stand beside a repeated question without adding anything (letters only, case folded).
 LABELS = ("q", "a", "question", "answer", "prompt", "response", "youasked", "yourquestion", "yourquestionwas", "yourquestionis", "frage", "antwort", "ihrefrage", "ihrefragelautet", "siefragten", "siefragen", "réponse", "votrequestion", "votrequestionest", "vousavezdemandé", "vousdemandez", "pregunta", "respuesta", "supregunta", "supreguntaes", "ustedpreguntó", "問", "答", "問題", "回答", "您的問題", "您的問題是", "你的問題是", "您問的是", "问题", "您的问题是", "質問", "ご質問", "ご質問は", "お尋ね")
-# Ways to decline, by language. Each needs the speaker (or the given texts) as its subject.
-REFUSALS = (
-    r"\b(?:i|we)(?: am| are|'m|'re)?(?: sorry,? but i)?(?: must| have to| will| would| do| can)?(?: really| simply| unfortunately| therefore)? (?:can ?not|can't|could not|couldn't|won't|will not|am unable to|unable to|not able to|decline|refuse|prefer not to|do not wish to|don't want to)\b(?=.{0,60}\b(?:answer|help|assist|respond|reply|discuss|provide|talk|guess|comment|advise|share|say|give|comply|support|this one|questions?)\b|[^\w]*$)",
-    r"\b(?:i|we)(?: must| have to| need to| will) (?:decline|refuse|pass)\b",
-    r"\b(?:i|we)(?:'m| am|'re| are)(?: afraid)?(?: i am| i'm)? (?:not (?:permitted|allowed|able|in a position|authori[sz]ed)|unable)\b",
-    r"\b(?:i|we) (?:do not|don't|did not|didn't) (?:have|find|see|possess)\b.{0,40}\b(?:information|details|context|data|knowledge|answer)\b",
-    r"\b(?:passages?|documents?|context|sources?|manual|excerpts?|texts?|information)\b.{0,20}\b(?:do not|don't|does not|doesn't|cannot|can't)\b.{0,20}\b(?:let|allow|permit|enable|contain|support|answer|suffice|provide)\b.{0,40}\b(?:answer|question|information|reply|this)\b",
-    r"\b(?:outside|beyond)\b.{0,12}\bwhat i\b",
-    r"\b(?:outside|beyond) (?:of )?(?:my|the) (?:scope|remit|knowledge|abilities|capabilities)\b",
-    r"\bno (?:reply|answer|response|information|guidance) (?:can|may|could|will) be (?:given|provided|offered)\b",
-    r"\b(?:would|is|it's)(?: not|n't)? ?(?:not )?(?:be )?(?:right|appropriate|proper|possible) for me to\b",
-    r"\b(?:is not|isn't|not) something (?:i|we)\b|\b(?:i|we)'d rather not\b|\b(?:i|we) would rather not\b",
-    r"\bkann ich\b.{0,60}\b(?:keine|nicht|nichts)\b.{0,40}\b(?:auskunft|auskünfte|helfen|weiterhelfen|beantworten|antworten|sagen|geben|behilflich|angaben)\b",
-    r"\bich (?:kann|darf|möchte|werde)\b.{0,60}\b(?:keine|nicht|nichts)\b.{0,40}\b(?:auskunft|auskünfte|helfen|weiterhelfen|beantworten|antworten|sagen|geben|behilflich|angaben|besprechen|äußern)\b",
-    r"\b(?:frage|anfrage)\b.{0,80}\b(?:nicht|leider nicht)\b.{0,20}\b(?:beantworten|beantwortet|beantwortbar)\b",
-    r"\b(?:unterlagen|texte|dokumente|angaben)\b.{0,30}\b(?:reichen nicht|nicht ausreichend|unzureichend)\b",
-    r"\b(?:muss|möchte)\b.{0,20}\bablehnen\b",
-    r"\bje (?:ne|n')\s?(?:peux|puis|suis|saurais|dispose|peut|veux|souhaite|ai)\b.{0,40}\b(?:pas|guère)\b",
-    r"\b(?:passages|documents|extraits|informations|éléments|sources)\b.{0,30}\bne\b.{0,30}\b(?:permettent|suffisent|contiennent)\b.{0,10}\bpas\b",
-    r"\bpas (?:en mesure|autorisée?) (?:de|à)\b|\bil (?:m'est|est) impossible\b|\bje (?:dois|préfère) (?:refuser|décliner|ne pas)\b|\bdépasse (?:mes|le cadre|ce que je)\b|\b(?:il )?ne m'est pas (?:permis|possible)\b|\bhors de mon (?:champ|domaine)\b",
-    r"\bno (?:puedo|podemos|podré|me es posible|estoy autorizad[oa]|estoy en condiciones)\b.{0,60}\b(?:ayudar\w*|responder\w*|contestar\w*|informar\w*|facilitar\w*|dar\w*|comentar\w*|hablar)\b",
-    r"\bno me (?:está permitid[oa]|es posible|corresponde)\b|\b(?:supera|excede) lo que\b",
-    r"\bno (?:dispongo|tengo|disponemos|cuento)\b.{0,30}\b(?:información|datos|detalles)\b",
-    r"\b(?:pasajes|documentos|textos|fragmentos)\b.{0,30}\bno\b.{0,20}\b(?:permiten|bastan|contienen|alcanzan)\b|\b(?:debo|tengo que|prefiero) (?:rechazar|declinar|no)\b|\bfuera de (?:mi|lo que)\b",
-    r"(?:我|本人|本系統).{0,4}(?:無法|无法|不能|不便|不可以).{0,12}(?:回答|答覆|答复|協助|协助|幫助|帮助|提供|作答|回應|回应|討論)|恕難|恕难|恕不|恕無法|不便(?:回答|透露|作答)|超出(?:了)?我|(?:內容|資料|資訊|文件|信息|内容).{0,6}(?:不足|不夠|不够).{0,12}(?:作答|回答|答覆|回答)|無可奉告",
-    r"(?:お答え|回答|お手伝い|ご案内|対応|お応え|ご説明).{0,8}(?:できません|できかねます|いたしかねます|致しかねます|出来ません|控え)|申し訳(?:ありません|ございません).{0,40}(?:ません|かねます)|範囲(?:外|を超え)",
-)
 # Names of languages, by their code.
 LANGUAGES = {
     "en": "english|englisch|anglais|inglés|inglese|英文|英語|英语",
@@ -71,15 +47,6 @@ LANGUAGES = {
     "ja": "japanese|japanisch|japonais|japonés|日文|日語|日语|日本語",
 }
 
-# A text without any of these cannot match a pattern of REFUSALS, which all hold one of them.
-REFUSAL_MARKS = (
-    "can't", "cannot", "can not", "could not", "couldn't", "won't", "will not", "unable", "not able", "decline", "refuse", "prefer not", "do not", "don't", "did not", "didn't", "does not", "doesn't", "i must", "we must", "have to", "need to", "will pass", "not ", "n't ", "what i", "my ", "scope", "the remit", "the knowledge", "capabilities", "abilities", "no reply", "no answer", "no response", "no information", "no guidance", "for me to", "rather not", "something",
-    "kann ich", "ich kann", "ich darf", "ich möchte", "ich werde", "frage", "reichen nicht", "ausreichend", "unzureichend", "ablehnen",
-    "je ne", "je n'", " ne ", "pas en mesure", "pas autoris", "impossible", "je dois", "je préfère", "dépasse", "hors de mon", "ne m'est",
-    "no pue", "no pod", "no me", "no estoy", "no dispon", "no tengo", "no cuento", " no ", "rechazar", "declinar", "prefiero", "debo", "tengo que", "fuera de", "supera", "excede",
-    "無法", "无法", "不能", "不便", "不可以", "恕", "超出", "不足", "不夠", "不够", "無可奉告", "ません", "かねます", "控え", "範囲",
-)
-_REFUSAL = [regex.compile(p, regex.S) for p in REFUSALS]
 _QUOTED = regex.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』|```.*?(?:```|$)", regex.S)
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Cc}]+")
 _OTHER = regex.compile(r"[^\p{L}\p{N}]+")
@@ -117,14 +84,6 @@ def is_copy(question: str | None, answer: str) -> bool:
     return False
 
 
-def is_refusal(answer: str) -> bool:
-    text = unicodedata.normalize("NFKC", answer).replace("’", "'").casefold()
-    if not any(m in text for m in REFUSAL_MARKS):
-        return False
-    text = _QUOTED.sub(" ", text)
-    return any(p.search(text) for p in _REFUSAL)
-
-
 _RUN = regex.compile(rf"[{_CJK}]+|[\p{{L}}\p{{M}}]+")
 
 
@@ -363,14 +322,15 @@ def find_defects(pairs: DataFrame, documents: DataFrame, per_language: int = 200
     """
     pairs = pairs.select("request_id", F.col("item_index").cast("int").alias("item_index"), "q", "a")
     langs, table = language_model(documents, per_language)
+    refusing = refusal_model(pairs.select("a"))
     ends = durable(end_model(pairs.select("a")))
     total = ends.agg(F.sum("n")).head()[0] or 0
     most = F.col("n") * heavy >= total
     sent = {r["key"]: (r["ends"], r["n"]) for r in ends.filter(most).collect()}  # at most `heavy` rows
-    shared = pairs.sparkSession.sparkContext.broadcast((langs, table, sent))
+    shared = pairs.sparkSession.sparkContext.broadcast((langs, table, sent, refusing))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, table, sent = shared.value
+        langs, table, sent, refusing = shared.value
         for b in it:
             rows = []
             for r in b.to_pylist():
@@ -380,7 +340,7 @@ def find_defects(pairs: DataFrame, documents: DataFrame, per_language: int = 200
                     d = "empty"
                 elif q and is_copy(q, a):
                     d = "copy"
-                elif is_refusal(a):
+                elif declines(a, refusing):
                     d = "refusal"
                 elif q and is_foreign(q, a, langs, table):
                     d = "language"

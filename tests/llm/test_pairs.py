@@ -1,7 +1,8 @@
 import random
 from datetime import datetime
 
-from tessella.llm.pairs import count_ends, find_defects, history_pairs, is_copy, is_empty, is_refusal, is_truncated, spell_context
+from tessella.llm.refusals import declines, fit, labelled_examples, refine, sentences as parts_of
+from tessella.llm.pairs import count_ends, find_defects, history_pairs, is_copy, is_empty, is_truncated, spell_context
 
 DE = ["Die Datei bleibt {n} Tage erhalten.", "Nur Administratoren dürfen die Datei ändern.", "Das Archiv wird um Mitternacht gewechselt, solange der Code nicht erscheint.", "Öffnen Sie das Gehäuse des Gerätes nicht."]
 EN = ["The archive is rotated at midnight.", "Only administrators may edit the file within {n} seconds.", "Press and hold the reset key for {n} seconds.", "The supply voltage drops to {n} volts on port {n}."]
@@ -13,6 +14,13 @@ def sentences(rng, bank, n):
     return join.join(rng.choice(bank).format(n=rng.randrange(1, 60)) for _ in range(n))
 
 
+WEIGHTS = fit(labelled_examples())
+
+
+def is_refusal(answer):
+    return declines(answer, WEIGHTS)
+
+
 def test_empty_copy_refusal():
     for a in (None, "", " ​　", "N/A", "(none)", "<empty>", "…", "-", "null", "TBD", "。"):
         assert is_empty(a), a
@@ -29,6 +37,41 @@ def test_empty_copy_refusal():
         assert not is_refusal(a), a
 
 
+def test_refusals_that_were_missed_or_wrong():
+    for a in ("I'm not going to answer that.", "Non posso rispondere.", "Não posso responder a isso.", "Я не могу на это ответить.", "답변할 수 없습니다."):
+        assert is_refusal(a), a
+    for a in ("This manual does not provide the torque value here, but the answer is in table 5: 12 Nm.", "We do not have data sheets for the old pump; order sheet 12 from the depot.", "Je peux régler la pompe, mais je ne veux pas de bruit: tournez la vis à gauche."):
+        assert not is_refusal(a), a
+
+
+# Held-out sentences, worded apart from those that the model is fitted on.
+HELD_OUT = {
+    "en": (("Sadly I cannot offer an answer to your question.", "I would prefer not to discuss that.", "I do not have the information needed to answer this.", "I am unable to provide help on that subject.", "We can't give you an answer."), ("The pump cannot start while the lid is open.", "Set the port to 502 and restart the gateway.", "The lamp turns red if the cable is not connected.", "No filter is needed for clean air.", "Only the owner can delete the list.")),
+    "de": (("Das kann ich Ihnen leider nicht beantworten.", "Zu diesem Thema darf ich keine Auskunft geben.", "Leider kann ich Ihnen dabei nicht helfen."), ("Die Pumpe startet nicht, solange der Deckel offen ist.", "Stellen Sie den Port auf 502.", "Der Filter muss nicht ersetzt werden.")),
+    "fr": (("Désolé, je ne peux pas répondre à cela.", "Je ne suis pas autorisé à parler de ce sujet.", "Les documents ne permettent pas de répondre à la question."), ("La pompe ne démarre pas si le couvercle est ouvert.", "Réglez le port sur 502.", "Le filtre n'a pas besoin d'être remplacé.")),
+    "es": (("Lo siento, no puedo contestar a eso.", "No tengo información suficiente para contestar la pregunta.", "No puedo ayudarle con esta pregunta."), ("La bomba no arranca si la tapa está abierta.", "Ajuste el puerto a 502.", "El filtro no se cambia nunca en verano.")),
+    "zh": (("抱歉，我不能回答您的問題。", "這個問題我無法協助。", "文件內容不足，無法作答。"), ("蓋子打開時泵不能啟動。", "請將連接埠設為502。", "濾網不需要更換。")),
+    "ja": (("申し訳ありませんが、お答えできません。", "その質問には回答できません。", "その件はお手伝いできません。"), ("カバーが開いているとポンプは起動できません。", "ポートを502に設定します。", "フィルターの交換は不要です。")),
+    "it": (("Purtroppo non posso rispondere a questo.", "Non posso aiutarla."), ("La pompa non parte se il coperchio è aperto.", "Impostare la porta su 502.")),
+    "pt": (("Infelizmente não posso responder a isso.", "Não posso ajudar com isso."), ("A bomba não liga com a tampa aberta.", "Ajuste a porta para 502.")),
+    "ru": (("К сожалению, я не могу ответить на это.", "Я не могу помочь с этим вопросом."), ("Насос не включается при открытой крышке.", "Установите порт 502.")),
+    "ko": (("죄송하지만 답변할 수 없습니다.", "그 질문은 도와드릴 수 없습니다."), ("덮개가 열려 있으면 펌프가 시작되지 않습니다.", "포트를 502로 설정합니다.")),
+}
+
+
+def test_refusals_held_out():
+    found = {k: ([a for a in yes if not is_refusal(a)], [a for a in no if is_refusal(a)]) for k, (yes, no) in HELD_OUT.items()}
+    missed, wrong = sum(len(m) for m, _ in found.values()), sum(len(w) for _, w in found.values())
+    total = sum(len(yes) for yes, _ in HELD_OUT.values())
+    assert missed <= 0.1 * total and wrong <= 0.1 * total, found
+
+
+def test_refining_learns_the_wording_of_a_log():
+    met = [x for k in range(200) for x in parts_of(f"Grommel {k} folgt. The blorb is set to {k} units in frame {k % 7}.")]
+    weights = refine(labelled_examples(), met + ["sorry, i can't answer this for the frame."])
+    assert not declines("The blorb is set to 9 units in frame 3.", weights) and declines("Sorry, I can't answer this for the frame.", weights)
+
+
 def model():
     from collections import Counter
 
