@@ -25,8 +25,9 @@ from tessella.common import latest
 from tessella.llm.tokens import token_count, token_spans
 
 _LINE = regex.compile(r"[\r\n]+")
-# Abbreviations and single letters behind which a full stop is no natural place for a cut.
-_SENTENCE = regex.compile(r"(?<![\s.(]\p{L})(?<!\b(?:No|Nr|Dr|Mr|Mrs|St|Fig|Abb|Tab|vs|ca|cf|z|bzw|Sr|Sra|ext|approx|ej|ex|fig|pág|рис|стр|См))(?:[.!?؟।։]+[\"'”’»)\]]*(?=\s)|[。！？｡][」』”’)）]*|…+(?=\s+\p{Lu})|(?<=\p{Thai})\s+(?=\p{Thai}))")
+# A sentence ends behind a mark that is followed by a blank and by what may begin one. Before a digit a full stop mostly belongs to an
+# abbreviation, and so it does behind a single letter, and behind a short word before a small letter.
+_SENTENCE = regex.compile(r"(?:(?:(?<=\p{L}{5})[.!?؟।։]+[\"'”’»)\]]*(?=\s+[^\s\p{N}])|(?<![\s.(]\p{L})[.!?؟।։]+[\"'”’»)\]]*(?=\s+[^\s\p{Ll}\p{N}]))|[。！？｡][」』”’)）]*|…+(?=\s+\p{Lu})|(?<=\p{Thai})\s+(?=\p{Thai}))")
 SCHEMA = T.StructType(
     [T.StructField(n, t) for n, t in (("chunk_id", T.StringType()), ("piece", T.IntegerType()), ("start_char", T.IntegerType()), ("end_char", T.IntegerType()), ("overlap_tokens", T.IntegerType()), ("tokens", T.IntegerType()), ("max_tokens", T.IntegerType()), ("fits", T.BooleanType()), ("text", T.StringType()))]
 )
