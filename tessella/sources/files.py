@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import casefold
+from tessella.operators.recovery import top_left
 
 LOW_TEXT = 80
 
@@ -43,15 +44,52 @@ def pdf_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[st
 
 
 def layout_items(spark: SparkSession, path: str) -> DataFrame:
-    """(file, collection, position, self_ref, item) of layout JSON files: every object with a self_ref, on its own or in a list. item is its
-    JSON text. Of a repeated self_ref the last one counts."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v"))
-    top = raw.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer())).select("file", F.col("key").alias("collection"), F.col("value").alias("_x"))
+    """(file, self_ref, place, position, collection, item) of layout JSON files: every object with a self_ref, on its own or in a list. item is its
+    JSON text, place and position where it stands in the file. Of a repeated self_ref the last one of the file counts."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v"), F.json_object_keys("value").alias("_keys"))
+    top = raw.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer())).select("file", F.col("key").alias("collection"), F.array_position("_keys", F.col("key")).alias("place"), F.col("value").alias("_x"))
     kind = F.schema_of_variant("_x")
-    lists = top.filter(kind.startswith("ARRAY")).select("file", "collection", F.posexplode(F.try_variant_get("_x", "$", "array<variant>")).alias("position", "_i"))
-    single = top.filter(kind.startswith("OBJECT")).select("file", "collection", F.lit(0).alias("position"), F.col("_x").alias("_i"))
-    every = lists.unionByName(single).select("file", "collection", "position", F.try_variant_get("_i", "$.self_ref", "string").alias("self_ref"), F.to_json("_i").alias("item")).filter("self_ref is not null")
-    return every.groupBy("file", "self_ref").agg(F.max(F.struct("collection", "position", "item")).alias("_l")).select("file", "self_ref", "_l.*")
+    lists = top.filter(kind.startswith("ARRAY")).select("file", "collection", "place", F.posexplode(F.try_variant_get("_x", "$", "array<variant>")).alias("position", "_i"))
+    single = top.filter(kind.startswith("OBJECT")).select("file", "collection", "place", F.lit(0).alias("position"), F.col("_x").alias("_i"))
+    every = lists.unionByName(single).select("file", "collection", "place", "position", F.try_variant_get("_i", "$.self_ref", "string").alias("self_ref"), F.to_json("_i").alias("item")).filter("self_ref is not null")
+    return every.groupBy("file", "self_ref").agg(F.max(F.struct("place", "position", "collection", "item")).alias("_l")).select("file", "self_ref", "_l.*")
+
+
+# Fields of a layout item that are read.
+_REF = "array<struct<`$ref`:string,cref:string>>"
+ITEM = f"label string, text string, level int, content_layer string, children {_REF}, captions {_REF}, prov array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double,coord_origin:string>>>, data struct<table_cells:array<struct<start_row_offset_idx:int,start_col_offset_idx:int,text:string>>>"
+#: The parent of an item that nothing links; no reference is spelt so.
+UNLINKED = "#unlinked"
+
+
+def flat_layout(layout: DataFrame, documents: DataFrame, heights: DataFrame | None = None) -> dict[str, DataFrame]:
+    """items and table_cells as build_corpus takes them, and warnings (doc_id, warning), of layout_items().
+
+    documents: doc_id, file; files of no document are left out. heights: doc_id, page_index, height, by which boxes that are measured from
+    the bottom are turned; without them these have no box. Body and furniture are the roots; an item's place is that among its parent's children,
+    or behind them among its captions; of several parents the first that is stated counts. An item that nothing links comes last and is marked as
+    of unknown order by build_corpus. An item without a label has the name of its collection.
+    """
+    read = layout.join(documents.select("doc_id", "file"), "file").select("doc_id", F.col("self_ref").alias("ref"), "collection", "place", "position", F.from_json("item", ITEM).alias("i"))
+    refs = lambda c, kind: F.transform(F.coalesce(c, F.array().cast(_REF)), lambda x, k: F.struct(F.lit(kind).alias("kind"), k.alias("k"), F.coalesce(x["$ref"], x["cref"], F.lit("")).alias("child")))
+    links = read.select("doc_id", F.col("ref").alias("parent_ref"), "place", "position", F.explode(F.concat(refs(F.col("i.children"), 0), refs(F.col("i.captions"), 1))).alias("l")).select("doc_id", "parent_ref", "place", "position", "l.*")
+    of = links.groupBy("doc_id", F.col("child").alias("ref")).agg(F.min(F.struct("place", "position", "kind", "k", "parent_ref")).alias("_l"))
+    root = F.coalesce(F.col("collection").isin("body", "furniture"), F.lit(False))
+    j = read.join(of, ["doc_id", "ref"], "left").withColumn("_root", root)
+    unlinked = F.col("_l").isNull() & ~F.col("_root")
+    grouping = F.col("collection").isin("body", "furniture", "groups")
+    parent = F.when(F.col("_root"), F.lit(None)).otherwise(F.coalesce("_l.parent_ref", F.lit(UNLINKED)))
+    order = F.when(F.col("_root"), F.when(F.col("collection") == "body", 0).otherwise(1)).when(unlinked, F.col("place") * 1_000_000_000 + F.col("position")).otherwise(F.col("_l.kind") * 1_000_000_000 + F.col("_l.k")).cast("bigint")
+    label = F.when(F.col("collection").isin("body", "furniture"), F.col("collection")).when(F.col("collection") == "groups", "group").otherwise(F.coalesce("i.label", "collection"))
+    box = F.get(F.col("i.prov"), F.lit(0))["bbox"]
+    placed = j.withColumn("page_index", F.get(F.col("i.prov"), F.lit(0))["page_no"] - 1)
+    placed = placed.join(heights.select("doc_id", "page_index", "height"), ["doc_id", "page_index"], "left") if heights is not None else placed.withColumn("height", F.lit(None).cast("double"))
+    turned = top_left(box["l"], box["t"], box["r"], box["b"], box["coord_origin"], F.col("height"))
+    items = placed.select("doc_id", order.alias("ordinal"), "ref", parent.alias("parent_ref"), label.alias("label"), "i.level", F.coalesce("i.text", F.lit("")).alias("text"), "page_index", F.coalesce(F.col("i.content_layer"), F.when(F.col("_root"), F.col("collection"))).alias("layer"), F.when(F.size("i.captions") > 0, F.transform("i.captions", lambda x: F.coalesce(x["$ref"], x["cref"]))).alias("caption_refs"), F.when(turned["t"].isNotNull() & turned["b"].isNotNull(), turned).alias("item_box"))
+    cells = read.filter("i.label = 'table'").select("doc_id", "ref", F.posexplode("i.data.table_cells").alias("cell_index", "c")).select("doc_id", "ref", "cell_index", F.col("c.start_row_offset_idx").alias("row"), F.col("c.start_col_offset_idx").alias("col"), "c.text")
+    lost = links.join(read.select("doc_id", F.col("ref").alias("child")), ["doc_id", "child"], "left_anti").select("doc_id", F.concat(F.lit("unresolved_reference:"), "child").alias("warning"))
+    alone = j.filter(unlinked & ~F.coalesce(grouping, F.lit(False))).select("doc_id", F.concat(F.lit("unlinked_item_appended_unknown_reading_order:"), "ref").alias("warning"))
+    return {"items": items, "table_cells": cells, "warnings": lost.unionByName(alone).distinct()}
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

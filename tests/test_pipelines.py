@@ -4,6 +4,7 @@ import pytest
 
 from tessella import plugins
 from tessella.operators import store
+from tessella.sources import files
 from tessella.plans.pipelines import answer_batch, answers, build_corpus
 
 ITEMS = [
@@ -103,3 +104,38 @@ def test_build_refuses_items_without_document_and_cells_without_table(spark):
     items = spark.createDataFrame([r for r in ITEMS if r[0] == "d"], schema)
     with pytest.raises(ValueError, match="cell of a table"):
         build_corpus(documents, items, table_cells=spark.createDataFrame([("d", "t9", 0, 0, 0, "x")], "doc_id string, ref string, cell_index int, row int, col int, text string"))
+
+
+LAYOUT = {
+    "pages": {"1": {"size": {"height": 792}}},
+    "body": {"self_ref": "#/body", "children": [{"$ref": "#/texts/0"}, {"cref": "#/tables/0"}, {"$ref": "#/groups/0"}, {"$ref": "#/pictures/0"}, {"$ref": "#/texts/99"}]},
+    "groups": [{"self_ref": "#/groups/0", "label": "list", "children": [{"$ref": "#/texts/2"}, {"$ref": "#/texts/1"}]}],
+    "texts": [
+        {"self_ref": "#/texts/0", "label": "section_header", "level": 1, "text": "Restart", "prov": [{"page_no": 1, "bbox": {"l": 10, "t": 700, "r": 90, "b": 680, "coord_origin": "BOTTOMLEFT"}}]},
+        {"self_ref": "#/texts/1", "label": "text", "text": "Second line.", "prov": [{"page_no": 2}]},
+        {"self_ref": "#/texts/2", "label": "text", "text": "First line."},
+        {"self_ref": "#/texts/3", "label": "caption", "text": "Front view."},
+        {"self_ref": "#/texts/4", "label": "text", "text": "Nobody links this."},
+        {"self_ref": "#/texts/5", "label": "page_footer", "text": "page 1"},
+        {"self_ref": "#/texts/4", "label": "text", "text": "Nobody links this, later."},
+    ],
+    "pictures": [{"self_ref": "#/pictures/0", "label": "picture", "captions": [{"$ref": "#/texts/3"}]}],
+    "tables": [{"self_ref": "#/tables/0", "label": "table", "data": {"table_cells": [{"start_row_offset_idx": 0, "start_col_offset_idx": 1, "text": "red"}, {"start_row_offset_idx": 0, "start_col_offset_idx": 0, "text": "lamp"}]}}],
+    "furniture": {"self_ref": "#/furniture", "children": [{"$ref": "#/texts/5"}]},
+}
+
+
+def test_layout_to_corpus(spark, tmp_path):
+    (tmp_path / "l.json").write_text(json.dumps(LAYOUT))
+    documents = spark.createDataFrame([("d", "Guide", "guide.pdf", "l.json")], "doc_id string, title string, source_filename string, file string")
+    heights = spark.createDataFrame([("d", 0, 792.0)], "doc_id string, page_index int, height double")
+    flat = files.flat_layout(files.layout_items(spark, f"file://{tmp_path}/l.json"), documents, heights)
+    assert {r["warning"] for r in flat["warnings"].collect()} == {"unresolved_reference:#/texts/99", "unlinked_item_appended_unknown_reading_order:#/texts/4"}
+    boxes = {r["ref"]: r["item_box"] for r in flat["items"].collect()}
+    assert tuple(boxes["#/texts/0"]) == (10.0, 92.0, 90.0, 112.0) and boxes["#/texts/1"] is None
+    out = build_corpus(documents.drop("file"), flat["items"], 64, table_cells=flat["table_cells"])
+    blocks = sorted(out["blocks"].collect(), key=lambda r: r["ordinal"])
+    assert [r["text"] for r in blocks] == ["Restart", "lamp | red", "First line.", "Second line.", "", "Front view.", "Nobody links this, later."]
+    assert [r["reading_order_unresolved"] for r in blocks] == [False] * 6 + [True] and [r["ref"] for r in out["furniture"].collect()] == ["#/texts/5"]
+    (figure,) = out["figures"].collect()
+    assert [b["text"] for b in blocks if b["block_id"] in figure["caption_block_ids"]] == ["Front view."]
