@@ -320,14 +320,17 @@ def find_defects(pairs: DataFrame, documents: DataFrame, per_language: int = 200
 
     A null question can only have an empty, refusing or truncated answer. An empty table gives an empty result.
     """
+    spark = pairs.sparkSession
     pairs = pairs.select("request_id", F.col("item_index").cast("int").alias("item_index"), "q", "a")
+    # read three times; in as many tasks as a shuffle has, as the work is in Python and not in proportion to the bytes by which tasks are merged
+    pairs = durable(pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "request_id", "item_index"))
     langs, table = language_model(documents, per_language)
     refusing = refusal_model(pairs.select("a"))
     ends = durable(end_model(pairs.select("a")))
     total = ends.agg(F.sum("n")).head()[0] or 0
     most = F.col("n") * heavy >= total
     sent = {r["key"]: (r["ends"], r["n"]) for r in ends.filter(most).collect()}  # at most `heavy` rows
-    shared = pairs.sparkSession.sparkContext.broadcast((langs, table, sent, refusing))
+    shared = spark.sparkContext.broadcast((langs, table, sent, refusing))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table, sent, refusing = shared.value
