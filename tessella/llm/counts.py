@@ -15,13 +15,13 @@ FLUSH = 200_000
 
 
 def key_counts(df: DataFrame, update: Callable[[Counter, list], None], spell: Callable[[Any], str | None] = str) -> DataFrame:
-    """(key, n): `update` adds the keys of a list of rows (dicts, or plain values for a single column) to a counter. Keys may be anything
+    """(key, n): `update` adds the keys of a list of rows (tuples, or plain values for a single column) to a counter. Keys may be anything
     hashable; `spell` makes a string of each distinct one when it is handed on, or None for one that is not counted."""
     single = len(df.columns) == 1
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = b.column(0).to_pylist() if single else b.to_pylist()
+            rows = b.column(0).to_pylist() if single else list(zip(*(c.to_pylist() for c in b.columns), strict=True))
             counter: Counter = Counter()
             for j in range(0, len(rows), 50):
                 update(counter, rows[j : j + 50])

@@ -53,6 +53,7 @@ WHOLE = ("heading", "table_row", "code")
 # Quotation marks that open, with those that close.
 QUOTES = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›", "〈": "〉", "《": "》", "（": "）"}
 
+_QUOTE = regex.compile("[\"" + "".join(a + b for a, b in QUOTES.items()) + "]")
 _KNOWN = {w: [lang for lang, ws in FUNCTION_WORDS.items() if w in ws.split()] for ws in FUNCTION_WORDS.values() for w in ws.split()}
 _HIDDEN = regex.compile(r"[\p{Cf}]+")
 _WIDE = {c: c - 0xFEE0 for a, b in ((0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)) for c in range(a, b + 1)}
@@ -125,7 +126,8 @@ def quoted(text: str) -> list[tuple[int, int]]:
     """Spans from an opening to its closing quotation mark; marks without a partner are no quotation."""
     out, stack = [], []
     straight = -1
-    for i, c in enumerate(text):
+    for m in _QUOTE.finditer(text):
+        i, c = m.start(), m[0]
         if c == '"':
             if straight >= 0 and i > 0 and not text[i - 1].isspace():
                 out.append((straight, i))
@@ -198,10 +200,10 @@ def _last_word(text: str, end: int) -> tuple[str, int]:
 
 
 def _update(counter: Counter, rows: list) -> None:
-    for r in rows:
-        if r["text"] is None or r["kind"] in WHOLE:
+    for kind, text in rows:
+        if text is None or kind in WHOLE:
             continue
-        text, _ = readable(r["text"])
+        text, _ = readable(text)
         lang = languages(text)[0]
         start = _LABEL.match(text)
         first = _WORD_AT.match(text, start.end() if start else 0)
