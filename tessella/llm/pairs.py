@@ -120,8 +120,8 @@ def language_model(documents: DataFrame, per_language: int = 2000) -> tuple[list
     sample = labelled.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000).select("lang", "text")
 
     def update(counter: Counter, rows: list) -> None:
-        for r in rows:
-            counter.update(zip(repeat(r["lang"]), runs(r["text"])))
+        for lang, text in rows:
+            counter.update(zip(repeat(lang), runs(text)))
 
     def apart(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:  # a distinct word is taken apart once, with its count
@@ -315,7 +315,7 @@ def history_pairs(requests: DataFrame, traces: DataFrame) -> DataFrame:
 JUDGED = "request_id string, item_index int, defect string, closed boolean, brief boolean, contexts array<struct<place:int,key:string,ends:bigint,n:bigint>>"
 
 
-def find_defects(pairs: DataFrame, documents: DataFrame, per_language: int = 2000, heavy: int = 100_000) -> DataFrame:
+def find_defects(pairs: DataFrame, documents: DataFrame, per_language: int = 2000, heavy: int = 20_000) -> DataFrame:
     """(request_id, item_index, defect): the first defect of each defective pair (request_id, item_index, q, a).
 
     A null question can only have an empty, refusing or truncated answer. An empty table gives an empty result.
