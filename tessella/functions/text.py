@@ -27,9 +27,19 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+# Letters whose full case folding is not their lower case, by the Unicode database; a capital sigma as well, whose lower case depends on its place.
+_FOLDED = {c: c.casefold() for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))) if c.casefold() != c.lower()} | {"Σ": "σ"}
+_TO_FOLD = "[" + "".join(_FOLDED) + "]"
+
+
+def _folded(c: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in _FOLDED.items() for x in pair])
+    return F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), F.lower(x))), "")
+
+
 def casefold(c: Column) -> Column:
-    """Lower case, with the two letters of common use whose full case folding differs from it."""
-    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Full case folding: lower case, but character by character where a text holds a letter that folds otherwise."""
+    return F.when(c.rlike(_TO_FOLD), _folded(c)).otherwise(F.lower(c))
 
 
 def tokenize(c: Column | str) -> Column:
@@ -37,7 +47,8 @@ def tokenize(c: Column | str) -> Column:
     character by character. Null gives an empty array."""
     col = F.col(c) if isinstance(c, str) else c
     parts = F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return F.flatten(F.transform(parts, lambda t: F.when(t.rlike(CJK), F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), casefold)).otherwise(F.array(casefold(t)))))
+    folded = lambda fold: F.flatten(F.transform(parts, lambda t: F.when(t.rlike(CJK), F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), fold)).otherwise(F.array(fold(t)))))
+    return F.when(F.coalesce(col.rlike(_TO_FOLD), F.lit(False)), folded(_folded)).otherwise(folded(F.lower))
 
 
 # The labels of the lexical projection and of the encoder's input.
