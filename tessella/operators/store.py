@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.common import dense_ordinals, durable
 from tessella.operators.dense import normalize, vector_fault
+from tessella.operators.tree import section_trees
 
 # The kinds of records and their identifiers; kinds with None are numbered where they have none.
 KINDS = {"documents": "doc_id", "sections": "section_id", "blocks": "block_id", "source_units": "source_unit_id", "chunks": "chunk_id", "figures": "figure_id"}
@@ -109,6 +110,22 @@ def fingerprint(rows: DataFrame, key: str, digest: str) -> DataFrame:
     return inner.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: F.concat(x["_b"], x["_h"])), "\n"), 256).alias("fingerprint"), F.sum("_n").alias("records"))
 
 
+def _with_descendants(sections: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """(section_id, doc_id) of the named sections and of all below them: those whose place in the tour lies in a named section's interval.
+    Sections on and below cycles have none; what hangs below them is followed link by link, if any is named."""
+    given = {c: sections[c] if c in sections.columns else F.lit(None).cast(t).alias(c) for c, t in (("section_id", "string"), ("doc_id", "string"), ("parent_id", "string"), ("title", "string"), ("path", "array<string>"), ("ordinal", "bigint"), ("written_at", "timestamp"))}
+    trees = durable(section_trees(sections.select(*given.values())).select("section_id", "doc_id", "parent_id", "root_id", "entry", "exit"))
+    named = trees.filter(F.col("section_id").isin(*ids))
+    spans = named.filter("root_id is not null").select(F.col("root_id").alias("_root"), F.col("entry").alias("_from"), F.col("exit").alias("_to"))
+    inside = trees.join(F.broadcast(spans), (F.col("root_id") == F.col("_root")) & F.col("entry").between(F.col("_from"), F.col("_to"))).select("section_id", "doc_id").distinct()  # a row a named section
+    lost = trees.filter("root_id is null").select("section_id", "doc_id", "parent_id")
+    edge = durable(lost.filter(F.col("section_id").isin(*ids)).select("section_id", "doc_id"))
+    while not edge.isEmpty():
+        inside = durable(inside.unionByName(edge))
+        edge = durable(lost.join(edge.select(F.col("section_id").alias("parent_id")), "parent_id", "left_semi").join(inside, "section_id", "left_anti").select("section_id", "doc_id"))
+    return inside
+
+
 def scope_chunks(chunks: DataFrame, sections: DataFrame, documents: DataFrame, scope: Mapping[str, Sequence[str]] | None) -> DataFrame:
     """The chunks that a scope admits: doc_ids and/or section_ids, a section with all of its descendants.
 
@@ -130,12 +147,7 @@ def scope_chunks(chunks: DataFrame, sections: DataFrame, documents: DataFrame, s
                 raise ValueError(f"unknown {field}: {unknown[0]!r}")
     out = chunks
     if "section_ids" in scope:
-        links = sections.select("section_id", "parent_id", "doc_id")
-        inside = durable(links.filter(F.col("section_id").isin(*scope["section_ids"])))
-        edge = inside
-        while not edge.isEmpty():  # one round per level below the scope
-            edge = durable(links.join(edge.select(F.col("section_id").alias("parent_id")), "parent_id", "left_semi").join(inside, "section_id", "left_anti"))
-            inside = durable(inside.unionByName(edge))
+        inside = durable(_with_descendants(sections, scope["section_ids"]))
         if "doc_ids" in scope:
             inside = inside.filter(F.col("doc_id").isin(*scope["doc_ids"]))
             if inside.isEmpty():

@@ -7,10 +7,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.common import table
+from tessella.common import latest, table
 from tessella.operators import recovery as R
 from tessella.operators import store
-from tessella.plans.documents import _BL, _blocks
+from tessella.operators.tree import valid_sections
+from tessella.plans.documents import _BL, _CH, _blocks
+from tessella.plans.hierarchy import _VALID
 
 HEIGHT = 792.0
 
@@ -62,6 +64,15 @@ def recovery_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.recovery_report(R.cell_status(_cells(_boxed(spark, sf_dir)), _items(spark, sf_dir)), missing_pages(spark, sf_dir))
 
 
+def scope_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of five whole trees: those of the first roots by section_id."""
+    sections = table(spark, sf_dir, "sections")
+    roots = valid_sections(sections).filter("nullif(parent_id, '') is null").orderBy("section_id").limit(5)  # the scope that is asked for
+    documents = table(spark, sf_dir, "bundle_documents").select("doc_id").distinct()
+    chunks = latest(table(spark, sf_dir, "chunks"), "chunk_id", "ingested_at", "doc_id", "section_id")
+    return store.scope_chunks(chunks, sections, documents, {"section_ids": [r["section_id"] for r in roots.collect()]}).select("chunk_id", "section_id")
+
+
 def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of the documents as artifacts; some are changed, some missing and some not stated."""
     d = table(spark, sf_dir, "documents").filter("text is not null")
@@ -98,6 +109,7 @@ SQL = {
     "recovery_stats": f"""WITH {_BL}, {_BOX}, {_STATUS}, {_GONE}, a AS (SELECT doc_id, count(*) FILTER (status IN ('matched', 'matched_across', 'recovered')) AS meaningful, count(*) FILTER (status IN ('matched', 'matched_across')) AS matched, count(*) FILTER (status = 'recovered') AS recovered FROM st GROUP BY 1),
 g AS (SELECT doc_id, count(*) AS missing_pages FROM gone GROUP BY 1)
 SELECT doc_id, coalesce(meaningful, 0) AS meaningful, coalesce(matched, 0) AS matched, coalesce(recovered, 0) AS recovered, coalesce(missing_pages, 0) AS missing_pages, CASE WHEN missing_pages > 0 THEN 'incomplete' WHEN recovered > 0 THEN 'recovered' ELSE 'matched' END AS status FROM a FULL JOIN g USING (doc_id)""",
+    "scope_chunks": f"WITH RECURSIVE {_VALID}, {_CH} SELECT chunk_id, section_id FROM c WHERE section_id IN (SELECT up.section_id FROM up WHERE up.at IN (SELECT section_id FROM v WHERE parent_id IS NULL ORDER BY section_id LIMIT 5))",
     "bbox_normalize": f"WITH {_BL}, {_BOX} SELECT block_id, l, t, r, bt AS b FROM x",
     "cell_overlap_join": f"WITH {_BL}, {_BOX}, {_STATUS} SELECT cell_ref, block_id AS item_ref FROM n JOIN x ON n.doc_id = x.doc_id AND n.page_index = x.page_index AND {_MEET}",
     "missing_pages": f"WITH {_BL}, d AS (SELECT doc_id, max(page_count) AS n FROM bundle_documents GROUP BY 1), e AS (SELECT doc_id, unnest(range(n))::INT AS page_index FROM d WHERE n > 0) SELECT * FROM e WHERE (doc_id, page_index) NOT IN (SELECT (doc_id, page_index) FROM b WHERE page_index IS NOT NULL AND doc_id IS NOT NULL)",
@@ -108,4 +120,4 @@ SELECT sha256(string_agg(b || h, chr(10) ORDER BY b)) AS fingerprint, sum(n)::BI
     "record_ordinals": f"WITH {_BL} SELECT block_id, row_number() OVER (ORDER BY doc_id, ordinal, block_id) - 1 AS ordinal FROM b",
 }
 
-QUERIES = {f.__name__: f for f in (bbox_normalize, cell_overlap_join, native_cell_status, missing_pages, recovery_stats, manifest_verify, corpus_fingerprint, record_ordinals)}
+QUERIES = {f.__name__: f for f in (scope_chunks, bbox_normalize, cell_overlap_join, native_cell_status, missing_pages, recovery_stats, manifest_verify, corpus_fingerprint, record_ordinals)}
