@@ -1,8 +1,9 @@
 import random
 from datetime import datetime
 
-from tessella.llm.refusals import declines, fit, labelled_examples, refine, sentences as parts_of
 from tessella.llm.pairs import count_ends, find_defects, history_pairs, is_copy, is_empty, is_truncated, spell_context
+from tessella.llm.refusals import declines, fit, labelled_examples, refine
+from tessella.llm.refusals import sentences as parts_of
 
 DE = ["Die Datei bleibt {n} Tage erhalten.", "Nur Administratoren dürfen die Datei ändern.", "Das Archiv wird um Mitternacht gewechselt, solange der Code nicht erscheint.", "Öffnen Sie das Gehäuse des Gerätes nicht."]
 EN = ["The archive is rotated at midnight.", "Only administrators may edit the file within {n} seconds.", "Press and hold the reset key for {n} seconds.", "The supply voltage drops to {n} volts on port {n}."]
