@@ -11,7 +11,11 @@ ZH = ["請先抄下序號。", "畫面顯示「就緒。請按確認。」後才
 TH = ["ห้ามเปิดฝาครอบขณะเครื่องทำงาน", "กดปุ่ม OK ค้างไว้ 48 วินาทีแล้วปล่อย", "บันทึกค่าลงในไฟล์ broker.conf ทุกวัน"]
 HI = ["आवरण को चलते समय न खोलें।", "तुरंत रोकें!", "दबाव 9.9 बार से अधिक न हो।"]
 AR = ["لا تفتح الغطاء أثناء التشغيل.", "هل وحدة المراوح ساخن؟", "تظهر الشاشة «جاهز. اضغط موافق.» ثم تنتظر."]
-BANKS = {"en": (EN, " "), "de": (DE, " "), "zh": (ZH, ""), "th": (TH, " "), "hi": (HI, " "), "ar": (AR, " ")}
+FR = ["N'ouvrez pas le boîtier de l'appareil.", "La pression ne doit pas dépasser {n} bar, cf. p. {n} de la notice.", "Les câbles, colliers, etc. sont fournis.", "M. Orvel a signé la feuille.", "L'écran affiche « Prêt. Appuyez sur OK. » puis attend.", "Le voyant est-il rouge ?", "Arrêtez l'appareil tout de suite !", "La version {n}.2.2 modifie le démarrage."]
+ES = ["No abra la carcasa del equipo.", "La presión llega a {n} bar, p. ej. en verano.", "El Sr. Dorune firmó la hoja.", "Los cables, bridas, etc. van aparte.", "¿Está caliente la lámpara?", "La pantalla muestra «Listo. Pulse OK.» y espera.", "Pulse la tecla durante {n} segundos.", "¡Pare el equipo de inmediato!"]
+JA = ["カバーを開けないでください。", "画面に「準備完了。確認を押してください。」と表示されます。", "ファンは熱いですか？", "{n}秒間押し続けます。", "すぐに停止してください！"]
+RU = ["Не открывайте корпус изделия.", "Давление доходит до {n} бар, см. рис. {n} в книге.", "Кабели, скобы и т. д. лежат отдельно.", "Лампа горит?", "Экран показывает «Готово. Нажмите ОК.» и ждёт.", "Немедленно остановите насос!", "Архив меняется в полночь."]
+BANKS = {"en": (EN, " "), "de": (DE, " "), "fr": (FR, " "), "es": (ES, " "), "zh": (ZH, ""), "ja": (JA, ""), "ru": (RU, " "), "th": (TH, " "), "hi": (HI, " "), "ar": (AR, " ")}
 
 
 def made(rng, lang, n):
@@ -81,12 +85,12 @@ def test_likelihood_ratio(spark):
     assert got[0] > 100 and got[1] == 0 and abs(got[2]) < 1e-9
 
 
-RU = ["Насос см. рис. 5 работает.", "Клапан см. табл. 7 закрыт.", "Насос включён.", "Клапан открыт.", "Не открывайте корпус."]
+RARE = ["Насос см. рис. 5 работает.", "Клапан см. табл. 7 закрыт.", "Насос включён.", "Клапан открыт.", "Не открывайте корпус."]
 
 
 def test_a_rare_language_finds_its_abbreviations(spark):
     rng = random.Random(2)
-    rows = [("text", made(rng, "en", 6)[0]) for _ in range(30_000)] + [("text", " ".join(rng.sample(RU, 3))) for _ in range(100)]
+    rows = [("text", made(rng, "en", 6)[0]) for _ in range(30_000)] + [("text", " ".join(rng.sample(RARE, 3))) for _ in range(100)]
     assert {"см", "рис", "табл"} <= learn(spark.createDataFrame(rows, "kind string, text string")).abbreviations["ru"]
 
 
