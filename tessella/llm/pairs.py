@@ -73,10 +73,15 @@ def is_empty(answer: str | None) -> bool:
 
 
 def is_copy(question: str | None, answer: str) -> bool:
-    """The answer is the question, once or more, with nothing beside it but labels."""
+    """The answer is the question, once or more, with nothing beside it but labels. The question may lack a remark at its end and what leads up
+    to it; its letters without both lie in those of all other forms, so an answer without them is no copy of any."""
     a = letters(answer)
-    for q in {question or "", _ASIDE.sub("", question or ""), _ASKED.sub("", _ASIDE.sub("", question or ""))}:
-        q = letters(q)
+    whole = question or ""
+    bare = _ASIDE.sub("", whole)
+    core = letters(_ASKED.sub("", bare))
+    if core and core not in a:
+        return False
+    for q in dict.fromkeys((letters(whole), letters(bare), core)):
         if len(q) >= 4 and q in a:
             rest = a.replace(q, "\0").strip("\0")
             if all(part in LABELS for part in rest.split("\0") if part):
