@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessella.functions.text import tokenize
 from tessella.operators.dense import dense_search, mean_pool, normalize, scoped, vector_fault
 from tessella.operators.fusion import REWRITE_WEIGHTS, weighted_rrf
-from tessella.operators.lexical import bm25_search, build_index
+from tessella.operators import lexical
+from tessella.operators.lexical import bm25_search, build_index, query_terms
 
 
 def tokens(spark, *texts):
@@ -40,6 +41,45 @@ def test_bm25_against_brute_force(spark):
         assert rows == [(i, o, round(s, 8)) for i, (o, s) in enumerate(brute_bm25(docs, text, 7), 1)]
 
 
+def test_bm25_in_batches_and_blocks(spark, monkeypatch):
+    """What cannot reach the best is not summed up, queries of the same terms are scored once: no result changes, however it is cut."""
+    rng = random.Random(9)
+    names = [f"w{i}" for i in range(40)]
+    docs = [" ".join(rng.choices(names, [1 / (i + 1) for i in range(40)], k=rng.randrange(0, 30))) for _ in range(300)]
+    queries = [" ".join(rng.choices(names, k=rng.randrange(1, 6))) for _ in range(12)] + ["w0 w1 w39", "w39 w1 w0", "w0", "none w0 w0", ""]
+    corpus = spark.createDataFrame(list(enumerate(docs)), "ordinal bigint, text string").repartition(2)
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id bigint, text string")
+    want = {(q, i): (o, s) for q, text in enumerate(queries) for i, (o, s) in enumerate(brute_bm25(docs, text, 5), 1)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        for sent, wanted, block in ((1000, None, 4096), (1000, query_terms(asked), 3), (0, query_terms(asked), 3)):
+            monkeypatch.setattr(lexical, "SENT", sent)
+            index = build_index(corpus, wanted)
+            got = {(r["query_id"], r["rank"]): (r["ordinal"], r["score"]) for r in bm25_search(index, asked, 5, block=block).collect()}
+            assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-8 for x in want)
+            if wanted is not None:
+                kept = {t for q in queries for t in q.split()}
+                assert {(r["ordinal"], r["term"], r["tf"]) for r in index.postings.collect()} == {(i, t, n) for i, d in enumerate(docs) for t, n in Counter(d.split()).items() if t in kept}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def shuffled(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pairs_that_share_a_term_are_not_shuffled(spark):
+    """400,000 pairs share the dash."""
+    corpus = spark.createDataFrame([(i, f"- a{i % 50}") for i in range(2000)], "ordinal bigint, text string").repartition(4)
+    asked = spark.createDataFrame([(i, f"- b{i}") for i in range(200)], "query_id bigint, text string")
+    before = shuffled(spark)
+    assert bm25_search(build_index(corpus, query_terms(asked)), asked).filter("ordinal < 20").count() == 4000
+    assert shuffled(spark) - before < 100_000
+
+
 def test_bm25_parameters(spark):
     index = build_index(spark.createDataFrame([(0, "a")], "ordinal bigint, text string"))
     q = spark.createDataFrame([(0, "a")], "query_id bigint, text string")
