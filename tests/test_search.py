@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import tokenize
 from tessella.operators.dense import dense_search, mean_pool, normalize, scoped, vector_fault
-from tessella.operators.fusion import REWRITE_WEIGHTS, weighted_rrf
+from tessella.operators.fusion import REWRITE_WEIGHTS, hybrid_search, hybrid_search_with_rewrite, weighted_rrf
 from tessella.operators import lexical
 from tessella.operators.lexical import bm25_search, build_index, query_terms
 
@@ -80,6 +80,17 @@ def test_pairs_that_share_a_term_are_not_shuffled(spark):
     assert shuffled(spark) - before < 100_000
 
 
+def test_pairs_are_not_shuffled_by_fused_searches(spark):
+    corpus = spark.createDataFrame([(i, f"- a{i % 50}", [1.0, float(i)]) for i in range(2000)], "ordinal bigint, text string, vector array<double>").repartition(4)
+    asked = spark.createDataFrame([(i, f"- b{i}", [1.0, float(i)]) for i in range(200)], "query_id bigint, text string, vector array<double>")
+    q, e = asked.select("query_id", "text"), asked.select("query_id", "vector")
+    index = build_index(corpus.select("ordinal", "text"), query_terms(q))
+    for search in (lambda: hybrid_search(index, corpus.select("ordinal", "vector"), q, e), lambda: hybrid_search_with_rewrite(index, corpus.select("ordinal", "vector"), (q, e), (q, e))):
+        before = shuffled(spark)
+        assert search().count() == 1000
+        assert shuffled(spark) - before < 150_000
+
+
 def test_bm25_parameters(spark):
     index = build_index(spark.createDataFrame([(0, "a")], "ordinal bigint, text string"))
     q = spark.createDataFrame([(0, "a")], "query_id bigint, text string")
