@@ -3,7 +3,8 @@ from pydoc_data.topics import topics
 
 import numpy as np
 
-from tessella.llm.filler import Reader, find_filler, judge_batch, lower_part, pair_hash, stretches
+from tessella.llm import filler
+from tessella.llm.filler import Reader, bitmap, find_filler, judge_batch, lower_part, may_hold, pair_hash, stretches
 
 SUBJECTS = ["the archive", "the operator", "the status lamp", "the relay board", "an expired certificate", "the flow meter"]
 VERBS = ["is rotated at midnight", "confirms the reading of the counter", "must be calibrated by trained staff", "answers with a short status line", "stops the listener on the port"]
@@ -116,3 +117,38 @@ def test_prose_that_is_not_made_of_templates(spark):
     assert got == set(range(len(good + varied), len(rows)))
     alone = [" ".join(t.split()[i : i + 120]) for t in texts for i in (0, 200)]
     assert find_filler(spark.createDataFrame(list(enumerate(alone)), "doc_id bigint, text string")).count() == 0
+
+
+def test_salad_that_repeats_no_pair(spark, monkeypatch):
+    """Words of whole pages in no order; a fifth of the pairs do not repeat."""
+    rng = random.Random(11)
+    good, _ = corpus(rng)
+    vocabulary = sorted({w for t in good[:400] for w in t.replace(".", "").split()})
+    mixed = [" ".join(w for _ in range(2) for w in rng.sample(vocabulary, len(vocabulary))) for _ in range(30)]
+    none = np.zeros(0, dtype=np.int64), np.zeros(0)
+    assert judge_batch(mixed, 60, 0.2, *none)[0].size == 0
+    texts = sorted((" ".join(topics[k].split()) for k in topics), key=len)[-30:]
+    varied = [" ".join(t.split()[200:320]) for t in texts]  # sentences of another subject
+    alone = [" ".join(made_up(rng, 90)) for _ in range(5)]  # words that no page holds tell nothing
+    rows = list(enumerate(good + varied + alone + mixed))
+    for sent, heavy in ((0, 1), (0, 100_000), (1_000_000, 1)):  # looked up by join, in the tasks for the most part, and there alone
+        monkeypatch.setattr(filler, "SENT", sent)
+        got = {r["doc_id"] for r in find_filler(spark.createDataFrame(rows, "doc_id bigint, text string"), heavy=heavy).collect()}
+        assert got == set(range(len(rows) - len(mixed), len(rows)))
+
+
+def test_bitmap(spark):
+    keys = [-(2**63), -1, 0, 63, 64, 2**63 - 1, 123456789]
+    held = bitmap(spark.createDataFrame([(k,) for k in keys], "key bigint"))
+    assert may_hold(held, np.array(keys)).all() and not may_hold(held, np.array([1, 2, 62])).any()
+    assert not may_hold(bitmap(spark.createDataFrame([], "key bigint")), np.array(keys)).any()
+
+
+def test_filler_is_the_same_with_pairs_joined(spark, monkeypatch):
+    good, bad = corpus(random.Random(5))
+    df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id bigint, text string")
+    scores = []
+    for sent in (0, 1_000_000):
+        monkeypatch.setattr(filler, "SENT", sent)
+        scores.append({r["doc_id"]: round(r["score"], 9) for r in find_filler(df, heavy=100).collect()})
+    assert scores[0] == scores[1] and len(scores[0]) > 40
