@@ -27,7 +27,7 @@ def tables(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize(("name", "rows"), [("ablation_topk", 1000), ("rrf_two_way", 250), ("cited_sources", 150), ("hybrid_search_rewrite", 250), ("qa_batch", 100)])
+@pytest.mark.parametrize(("name", "rows"), [("ablation_topk", 1000), ("rrf_two_way", 250), ("cited_sources", 150), ("hybrid_search_rewrite", 250), ("qa_batch", 100), ("rrf_four_way", 250)])
 def test_pairs_that_share_a_term_are_not_shuffled(spark, tables, name, rows):
     before = shuffled(spark)
     assert len(__spark_entry__.queries()[name](spark, tables).collect()) == rows
